@@ -19,7 +19,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voidscan.llm.substring_dedup import substring_dedup
+
+    # a text without cuts stays as it was: its words joined by one blank are what the digest is of
+    kept = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    return substring_dedup(tables(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op7_line_dedup": op7_line_dedup}
 
 _OP7_SQL = r"""
 WITH l AS (
@@ -35,4 +44,18 @@ SELECT doc_id, count(*) AS n_lines,
 FROM l LEFT JOIN r USING (k) GROUP BY doc_id
 """
 
-ORACLE = {"op7_line_dedup": _OP7_SQL}
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM d WHERE len(w) >= 50),
+v AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS words FROM s),
+o AS (SELECT words, min(doc_id) AS holder FROM v GROUP BY words),
+c AS (SELECT DISTINCT doc_id, p + unnest(range(0, 50)) AS i FROM v JOIN o USING (words) WHERE doc_id > holder),
+l AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT doc_id, count(*) FILTER (WHERE c.i IS NOT NULL) AS n_removed,
+             string_agg(word, ' ' ORDER BY l.i) FILTER (WHERE c.i IS NULL) AS kept
+      FROM l LEFT JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE = {"op3_substring_dedup": _OP3_SQL, "op7_line_dedup": _OP7_SQL}
