@@ -28,7 +28,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op7_line_dedup": op7_line_dedup}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voidscan.llm.near_dedup import near_dedup
+
+    return near_dedup(tables(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {"op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op7_line_dedup": op7_line_dedup}
 
 _OP7_SQL = r"""
 WITH l AS (
