@@ -19,6 +19,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voidscan.llm.decontaminate import leaks
+
+    return leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voidscan.llm.substring_dedup import substring_dedup
 
@@ -34,7 +40,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(tables(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op7_line_dedup": op7_line_dedup}
 
 _OP7_SQL = r"""
 WITH l AS (
