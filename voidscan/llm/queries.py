@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from voidscan.llm.frames import tables
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from voidscan.llm.packing import pack
+
+    return pack(tables(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voidscan.llm.line_dedup import line_dedup
 
@@ -40,7 +48,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(tables(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup}
 
 _OP7_SQL = r"""
 WITH l AS (
