@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voidscan.llm import textkit as tk
-from voidscan.llm.frames import NO_ID, batches, id_of, own, schema_of
+from voidscan.llm.frames import batches, id_of, own, schema_of, written
 
 BLOCK_BITS = 15
 PROBES = 3
@@ -166,7 +166,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if docs.select(id_col).schema[0].dataType not in (T.LongType(), T.IntegerType()):
         raise TypeError(f"{id_col} must be an integer column")
     # one row for each key and id, then one for each key: both sum up before they shuffle
-    verdict = (found.groupBy("key", "id").agg(F.first("hash").alias("hash")).groupBy("key")
+    # as a table: both sides of the join then come from a shuffle of their own, and Spark can split a key's partition
+    verdict = written(found.groupBy("key", "id").agg(F.first("hash").alias("hash")).groupBy("key")
                .agg(F.count("*").alias("n"), F.max("id").alias("holder")).where(F.col("n") >= min_docs).select("key", "holder"))
     drops = (found.join(verdict, "key").where(F.col("id") != F.col("holder")).groupBy("id").agg(F.collect_set("hash").alias("__drop")))
     both = docs.withColumn("__id", id_of(id_col)).join(drops.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
@@ -198,6 +199,3 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [new.get(c, tk.column(batch, c)) for c in names] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     return both.mapInArrow(rewrite, out)
-
-
-assert NO_ID < 0
