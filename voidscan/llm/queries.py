@@ -48,7 +48,15 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(tables(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voidscan.llm.language import fit, fold_of, predict
+
+    docs = tables(spark, sf_dir, "documents").withColumn("held_out", fold_of("doc_id", 3) == 1)
+    model = fit(docs.where("not held_out").select("text", "lang"))
+    return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {"op9_language_id": op9_language_id, "op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup}
 
 _OP7_SQL = r"""
 WITH l AS (

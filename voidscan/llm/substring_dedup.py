@@ -101,7 +101,7 @@ def segment_words(it):
 def matched(window: int):
     """For a shard: intervals (a, b) of a segment that smaller ids hold; b = -1: the window at a, of hash `anchor`, is open."""
 
-    def run(_, t: pa.Table) -> pa.Table:
+    def run(_, t):
         t = t.combine_chunks()
         _, offsets, _ = tk.strings(t.column("words"))
         raw = t.column("words").combine_chunks()
