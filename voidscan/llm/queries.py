@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from voidscan.llm.frames import tables
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voidscan.llm.language import fold_of
+    from voidscan.llm.toxicity import fit, score
+
+    docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(fold_of("doc_id", 5) != 0))
+    held = docs.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "text")
+    return score(held, model).select("doc_id", "held_out", F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -56,7 +66,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {"op9_language_id": op9_language_id, "op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op9_language_id": op9_language_id, "op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup}
 
 _OP7_SQL = r"""
 WITH l AS (

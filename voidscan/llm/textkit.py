@@ -124,11 +124,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(chunk: Chunk, hashed: bool = True, lower: bool = False) -> Words:
-    """Words of a chunk; none spans two rows.  lower: A-Z count as a-z."""
+def words(chunk: Chunk, hashed: bool = True, lower: bool = False, between: np.ndarray = BLANK) -> Words:
+    """Words of a chunk; none spans two rows.  lower: A-Z count as a-z.  between: the bytes that separate words."""
     data = LOWER[chunk.data] if lower else chunk.data
     n = len(data)
-    inside = ~BLANK[data]
+    inside = ~between[data]
     cut = np.zeros(n + 1, bool)
     cut[chunk.starts] = True
     cut[n] = True
