@@ -30,6 +30,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(tables(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voidscan.llm.quality import quality
+
+    return quality(tables(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voidscan.llm.line_dedup import line_dedup
 
@@ -66,7 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {"op9_language_id": op9_language_id, "op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op9_language_id": op9_language_id, "op2_decontamination": op2_decontamination, "op8_near_dedup": op8_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup}
 
 _OP7_SQL = r"""
 WITH l AS (
