@@ -8,13 +8,14 @@ STEP tokens.  A sequence of n tokens costs its padding, a cut inside a document
 
     cost(j) = penalty(j) + min over i with at[j] - at[i] <= size of cost(i) + size - (at[j] - at[i])
 
-The window of i slides, so a monotone queue of cost(i) + at[i] gives each minimum in O(1).  Lengths that are a power of two need no
-padding; each is one more candidate, if a cut stands there.  The stream is cut after some BLOCK_TOKENS at the end of a document,
+The window of i slides, so a monotone queue of cost(i) + at[i] gives each minimum in O(1).  A half or a
+quarter of the size needs no padding either; each is one more candidate, if a cut stands there.  The stream is cut after some BLOCK_TOKENS at the end of a document,
 which bounds memory; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import deque
 
@@ -60,19 +61,76 @@ def pieces(chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return at, np.searchsorted(at, chunk.starts)
 
 
+class Ids:
+    """Ids of pieces in a sorted array of their hashes."""
+
+    def __init__(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        begin = (np.cumsum(size) - size)[order]
+        self.hashes, self.size = hashes[order], size[order]
+        self.first = np.cumsum(self.size) - self.size
+        self.ids = ids[np.repeat(begin - self.first, self.size) + np.arange(len(ids))]
+
+    def place(self, asked: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(asked), -1)
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == asked, at, -1)
+
+    def __add__(self, other: Ids) -> Ids:
+        return Ids(*(np.concatenate(x) for x in ((self.hashes, other.hashes), (self.size, other.size), (self.ids, other.ids))))
+
+
+def _none() -> Ids:
+    return Ids(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+
 class Tokens:
-    """Ids of pieces, by hash: a sorted array of hashes, refilled from the tokenizer for pieces not met before."""
+    """The ids of texts by a tokenizer file of byte-level BPE.
+
+    Its vocabulary is run by tiktoken, which is several times as fast as the tokenizers library and gives the same ids for a vocabulary
+    whose ids are in the order of its merges (checked here).  Texts that hold a special token's string go to the tokenizers library.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
-    def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:  # the tokenizer's file, which every executor has
+            d = json.load(f)
+        self.special = [t["content"].encode() for t in d["added_tokens"]]
+        vocab, byte = d["model"]["vocab"], _bytes_of_characters()
+        named = {t["content"] for t in d["added_tokens"]}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in named}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in d["model"]["merges"]]
+        order = [vocab[a + b] for a, b in merges]
+        if order != sorted(order) or d["pre_tokenizer"]["type"] != "ByteLevel" or d["pre_tokenizer"]["add_prefix_space"] or d["normalizer"]:
+            raise ValueError(f"{path}: only byte-level BPE with ids in the order of merges is known")
+        self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            self.width[i] = len(t)
+        self.known, self.fresh = _none(), _none()
+
+    def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has.  Pieces that begin with a blank and end in a letter or sign are tokenized in one go."""
+        joint = np.array([t[:1] == b" " and _SOLID[t[-1]] for t in texts], bool)
+        size, parts = np.zeros(len(texts), np.int64), [None] * len(texts)
+        together = [t for t, j in zip(texts, joint) if j]
+        if together:
+            ids = np.array(self.fast.encode_ordinary(b"".join(together).decode()), np.uint32)
+            end = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(t) for t in together]), "left") + 1
+            size[joint] = np.diff(end, prepend=0)
+            for k, a, b in zip(np.flatnonzero(joint).tolist(), np.concatenate([[0], end[:-1]]).tolist(), end.tolist()):
+                parts[k] = ids[a:b]
+        for k in np.flatnonzero(~joint).tolist():
+            parts[k] = np.array(self.fast.encode_ordinary(texts[k].decode()), np.uint32)
+            size[k] = len(parts[k])
+        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), size
 
     def of(self, chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the chunk, bounds by row, and which ids end a sentence."""
@@ -80,42 +138,56 @@ class Tokens:
         start, end = at[:-1], at[1:]
         h = tk.Spans(tk.byte_codes(chunk.data)).hash(start, end)
         unique, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        place = self.place(unique)
-        new = np.flatnonzero(place < 0)
+        big, small = self.known.place(unique), self.fresh.place(unique)
+        new = np.flatnonzero((big < 0) & (small < 0))
         if len(new):
-            if len(self.hashes) + len(new) > KEPT_PIECES:
-                self.forget()
+            if len(self.known.hashes) + len(self.fresh.hashes) + len(new) > KEPT_PIECES:
+                self.known = self.fresh = _none()
                 new = np.arange(len(unique))
             text = chunk.data.tobytes()
-            coded = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in zip(start[index[new]], end[index[new]])], add_special_tokens=False)
-            self.add(unique[new], [c.ids for c in coded])
-            place = self.place(unique)
-        many = np.diff(self.first)[place]
-        count = many[inverse]
+            ids, size = self.coded([text[a:b] for a, b in zip(start[index[new]].tolist(), end[index[new]].tolist())])
+            self.fresh += Ids(unique[new], size, ids)
+            if len(self.fresh.hashes) > max(1 << 16, len(self.known.hashes) // 3):
+                self.known, self.fresh = self.known + self.fresh, _none()
+            big, small = self.known.place(unique), self.fresh.place(unique)
+        b, s = self.known, self.fresh
+        held = np.concatenate([b.ids, s.ids])
+        size = np.where(big >= 0, np.append(b.size, 0)[big], np.append(s.size, 0)[small])
+        first = np.where(big >= 0, np.append(b.first, 0)[big], np.append(s.first, 0)[small] + len(b.ids))
+        count = size[inverse]
         out_first = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.repeat(self.first[place][inverse] - out_first[:-1], count) + np.arange(out_first[-1])]
+        ids = held[np.repeat(first[inverse] - out_first[:-1], count) + np.arange(out_first[-1])]
         stop = np.zeros(len(ids), bool)
         stop[out_first[1:][(end > start) & _STOP[chunk.data[np.maximum(end - 1, 0)]]] - 1] = True
-        return ids, out_first[by_row], stop
+        bounds = out_first[by_row]
+        if any(x in (text := chunk.data.tobytes()) for x in self.special):
+            ids, bounds, stop = self.with_special(chunk, text, ids, bounds, stop)
+        return ids, bounds, stop
 
-    def place(self, unique: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(unique), -1)
-        at = np.minimum(np.searchsorted(self.hashes, unique), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == unique, at, -1)
-
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
-        # merge: pieces in the order of their hashes
-        every = np.concatenate([self.hashes, hashes])
-        sizes = np.concatenate([np.diff(self.first), size])
-        begin = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum(size) - size])
-        both = np.concatenate([self.ids, flat])
-        order = np.argsort(every, kind="stable")
-        first = np.concatenate([[0], np.cumsum(sizes[order])])
-        self.ids = both[np.repeat(begin[order] - first[:-1], sizes[order]) + np.arange(first[-1])]
-        self.hashes, self.first = every[order], first
+    def with_special(self, chunk, text, ids, bounds, stop):
+        new_ids, new_stop = [], []
+        for i in range(chunk.rows):
+            row = text[chunk.starts[i]: chunk.starts[i + 1]]
+            if any(x in row for x in self.special):
+                new_ids.append(np.array(self.whole.encode(row.decode(), add_special_tokens=False).ids, np.uint32))
+                new_stop.append(np.zeros(len(new_ids[-1]), bool))
+            else:
+                new_ids.append(ids[bounds[i]: bounds[i + 1]])
+                new_stop.append(stop[bounds[i]: bounds[i + 1]])
+        return np.concatenate(new_ids), np.concatenate([[0], np.cumsum([len(x) for x in new_ids])]), np.concatenate(new_stop)
+
+
+def _bytes_of_characters() -> dict[str, int]:
+    """Byte-level BPE writes printable bytes as themselves and the others, in order, as characters from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@functools.lru_cache(maxsize=1)
+def _tokens(path: str) -> Tokens:
+    """A worker process keeps its pieces from one task to the next."""
+    return Tokens(path)
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
@@ -128,7 +200,7 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     where, price = at.tolist(), penalty.tolist()
     cost, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    powers = [1 << k for k in range(size.bit_length() - 1) if 1 << k >= 16]
+    powers = [size // 2, size // 4]
     for j in range(1, n):
         p = where[j]
         while where[queue[0][1]] < p - size:
@@ -228,7 +300,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
 
     def rows(it):
-        tokens, stream = Tokens(tokenizer_path), Stream(TaskContext.get().partitionId())
+        tokens, stream = _tokens(tokenizer_path), Stream(TaskContext.get().partitionId())
 
         def sent():
             out = stream.pack()
@@ -238,10 +310,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             doc = batch.column(0).to_pylist()
             for chunk in tk.chunks(batch.column(1)):
                 ids, first, stop = tokens.of(chunk)
-                end = np.array([END], np.uint32)
+                ids, stop = np.insert(ids, first[1:], END), np.insert(stop, first[1:], False)
+                first = (first + np.arange(len(first))).tolist()
                 for i in range(chunk.rows):
                     a, b = first[i], first[i + 1]
-                    stream.add(doc[chunk.lo + i], np.concatenate([ids[a:b], end]), np.append(stop[a:b], False))
+                    stream.add(doc[chunk.lo + i], ids[a:b], stop[a:b])
                     if stream.held >= BLOCK_TOKENS:
                         yield sent()
         if stream.held:
