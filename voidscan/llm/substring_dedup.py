@@ -25,9 +25,9 @@ from voidscan.llm import textkit as tk
 from voidscan.llm.fm_index import FMIndex, shared_windows
 from voidscan.llm.frames import batches, id_of, own, schema_of, written
 
-GRAM = 8
+GRAM = 20
 #: Segments of one anchor in a shard, and segments in a shard, about.
-SPLIT, SHARD = 4096, 5000
+SPLIT, SHARD = 16384, 5000
 
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -135,7 +135,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     keyed = docs.select(id_of(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
     rows, schema = anchor_rows(window)
     found = keyed.mapInArrow(rows, schema)
-    common = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor")
+    # as a table: both sides of the join then come from a shuffle of their own, and Spark can split a hot anchor's partition
+    common = written(found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor"))
     occ = written(found.join(common, "anchor"))
     segs = occ.groupBy("anchor", "seg").agg(F.min("id").alias("holder"))
     kinds = segs.groupBy("anchor").agg(F.count("*").alias("kinds"))
