@@ -34,6 +34,7 @@ _BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x8
 class Inputs:
     """Distinct words of some texts: their word bucket, their character buckets, and the texts as numbers of distinct words."""
 
+    hash: np.ndarray
     bucket: np.ndarray
     chars: np.ndarray
     char_first: np.ndarray
@@ -57,7 +58,22 @@ def inputs(chunk: tk.Chunk) -> Inputs:
     p = np.repeat(at[:-1], many) + np.arange(first[-1]) - np.repeat(first[:-1], many)
     key = text[p] | text[p + 1] << 8 | text[p + 2] << 16 | text[p + 3] << 24
     chars = (key * np.uint32(2654435761)) >> np.uint32(32 - CHAR_BITS)
-    return Inputs((h >> tk.U(64 - WORD_BITS)).astype(np.int64), chars.astype(np.int64), first, token.astype(np.int64), w.first)
+    return Inputs(h, (h >> tk.U(64 - WORD_BITS)).astype(np.int64), chars.astype(np.int64), first, token.astype(np.int64), w.first)
+
+
+def gathered(texts: list[str]) -> Inputs:
+    """Inputs of many texts, read in chunks; a word of several chunks is one distinct word."""
+    parts = [inputs(c) for c in tk.chunks(pa.array([t or "" for t in texts], pa.large_string()))]
+    shift = np.cumsum([0] + [len(p.hash) for p in parts])
+    h = np.concatenate([p.hash for p in parts])
+    _, index, number = np.unique(h, return_index=True, return_inverse=True)
+    size = np.concatenate([np.diff(p.char_first) for p in parts])
+    begin = np.cumsum(size) - size
+    first = np.concatenate([[0], np.cumsum(size[index])])
+    chars = np.concatenate([p.chars.astype(np.int32) for p in parts])[np.repeat(begin[index] - first[:-1], size[index]) + np.arange(first[-1])]
+    token = np.concatenate([number[p.token + s].astype(np.int32) for p, s in zip(parts, shift)])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))])
+    return Inputs(h[index], np.concatenate([p.bucket for p in parts])[index], chars, first, token, bounds)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,31 +258,39 @@ class Model:
         return np.where(np.isfinite(top), _sigmoid((top - self.middle) * self.scale), 0.0)
 
 
-def _evidence(buckets: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Log-odds of a bucket's presence in toxic against clean texts; 0 unless it is beyond 5 standard errors."""
-    seen = np.unique(doc * size + buckets)
-    d, b = seen // size, seen % size
-    n1, n0 = max(1, label.sum()), max(1, (label == 0).sum())
-    c1, c0 = np.bincount(b[label[d] == 1], minlength=size), np.bincount(b[label[d] == 0], minlength=size)
-    p = (c1 + c0 + 1) / (n1 + n0 + 2)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    return np.where(np.abs(z) > 5, np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)), 0.0)
+def _evidence(x: Inputs, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of a word's and a run's presence in toxic against clean texts; 0 unless they are beyond 5 standard errors."""
+    sizes = (1 << WORD_BITS, 1 << CHAR_BITS)
+    count = [np.zeros((2, n)) for n in sizes]
+    size = np.diff(x.char_first)
+    for i in range(len(x.first) - 1):
+        words = np.unique(x.token[x.first[i]: x.first[i + 1]])
+        n = size[words]
+        at = np.repeat(x.char_first[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        count[0][label[i], np.unique(x.bucket[words])] += 1
+        count[1][label[i], np.unique(x.chars[at])] += 1
+    n1, n0 = max(1, int(label.sum())), max(1, int((label == 0).sum()))
+    out = []
+    for c0, c1 in count:
+        p = (c1 + c0 + 1) / (n1 + n0 + 2)
+        z = (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        out.append(np.where(np.abs(z) > 5, np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)), 0.0))
+    return out[0], out[1]
 
 
 def train(texts: list[str], label: np.ndarray, seed: int = 11, rounds: int = 8, rate: float = 0.01) -> Model:
     """A model of labelled texts (1: toxic).  Without both kinds of labels it rejects nothing."""
     rng = np.random.Generator(np.random.PCG64(seed))
     net = Network(rng)
-    label = np.asarray(label)
-    whole = next(tk.chunks(pa.array([t or "" for t in texts], pa.large_string()), 1 << 62), None)
-    if whole is None or not (label == 1).any() or not (label == 0).any():
+    label = np.asarray(label).astype(int)
+    if not (label == 1).any() or not (label == 0).any():
+        return Model(net, 1e9, 1.0)
+    x = gathered(texts)
+    if not len(x.token):
         return Model(net, 1e9, 1.0)
-    x = inputs(whole)
-    doc = np.repeat(np.arange(len(texts)), np.diff(x.first))
-    net.p["word"][:, 0] += 0.5 * _evidence(x.bucket[x.token], doc, label, 1 << WORD_BITS)
-    size = np.diff(x.char_first)[x.token]
-    at = np.repeat(x.char_first[x.token] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    net.p["char"][:, 0] += 0.25 * _evidence(x.chars[at], np.repeat(doc, size), label, 1 << CHAR_BITS)
+    word, char = _evidence(x, label)
+    net.p["word"][:, 0] += 0.5 * word
+    net.p["char"][:, 0] += 0.25 * char
     start, bounds = windows(x.first)
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     n = np.diff(x.first)[row]
@@ -313,10 +337,10 @@ def _some(x: Inputs, idx: np.ndarray) -> tuple[Inputs, np.ndarray]:
     size = np.diff(x.char_first)[used]
     first = np.concatenate([[0], np.cumsum(size)])
     chars = x.chars[np.repeat(x.char_first[used] - first[:-1], size) + np.arange(first[-1])]
-    return Inputs(x.bucket[used], chars, first, x.token[:0], x.first[:1]), at[:-1].reshape(idx.shape)
+    return Inputs(x.hash[used], x.bucket[used], chars, first, x.token[:0], x.first[:1]), at[:-1].reshape(idx.shape)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000, max_bytes: int = 48 << 20) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 4000, max_bytes: int = 16 << 20) -> Model:
     """Train on a bounded sample of labelled texts: `max_docs` / 2 of each label by the hash of their ids, `max_bytes` of text."""
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
     chosen = None
