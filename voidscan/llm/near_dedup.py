@@ -4,11 +4,10 @@
    and only the class's smallest id goes on.
 2. MinHash signatures of BANDS * ROWS values; a band's values are a bucket.  A pair of similarity 0.8 misses all buckets with
    probability (1 - 0.8**ROWS)**BANDS, about 6e-5.
-3. Rounds over buckets.  In the first round a bucket's members are paired with its smallest id and with their neighbour in id
-   order, so a bucket of m members gives 2 m pairs at most.  Verified links make components.  Later rounds look only at buckets
-   whose members are not yet one component, and pair members of different components: few partners for each member at first,
-   eight times as many each round, all of them in the last.  So no link between components is lost, and a large group of near
-   copies never gives all its pairs.
+3. A bucket's members are paired with its smallest class and with their neighbour in order, so a bucket of m members gives 2 m pairs
+   at most.  Verified links make components.  Only buckets whose members are not yet one component are looked at again: all members outside
+   the bucket's largest component are compared with all members, in blocks that fit a task, and each task gives at most as many links
+   as it joins components.  So no link between components is lost, and a large group of near copies never gives all its pairs.
 4. A pair is verified sequentially: batches of signature values are compared, and the pair is dropped as soon as the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below `miss`.  Survivors are verified exactly on
    their full sets of shingles.
@@ -30,8 +29,8 @@ from voidscan.llm.frames import back, batches, id_of, own, written
 BANDS, ROWS = 32, 6
 #: Signature values that are compared before each look at the posterior.
 BATCH = 32
-#: Members of a bucket that one task compares with one another; larger buckets are dealt in blocks.
-BLOCK = 1024
+#: Members of either side of a bucket that one task compares; larger buckets are dealt in blocks.
+BLOCK = 2048
 _rng = np.random.Generator(np.random.PCG64(7))
 _MUL = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * 2 + 1
 _ADD = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -192,29 +191,48 @@ def set_rows(k: int):
     return rows
 
 
-def partners(most: int | None, threshold: float, miss: float):
-    """Plausible pairs of a block of a bucket between components: `most` partners of each member in each other component (None: all)."""
+def compared(percent: int, miss: float):
+    """Links that join components of a bucket: rows of side 0 against rows of side 1.
+
+    Pairs of one component are skipped, the others go through the sequential test and then the exact one; a link that is found joins its
+    components at once.  So the links are fewer than the components, however many pairs are looked at.
+    """
 
     def run(_, t):
         t = t.combine_chunks()
         ids, comp, side = (np.asarray(t.column(n)) for n in ("id", "comp", "side"))
         data, offsets, _ = tk.strings(t.column("sig"))
         sig = data[offsets[0]: offsets[-1]].view(np.uint32).reshape(len(ids), BANDS * ROWS)
-        xs, ys = [ids[:0]], [ids[:0]]
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        right = right[np.lexsort((ids[right], comp[right]))]
+        data, offsets, _ = tk.strings(t.column("grams"))
+        first = offsets // 8
+        _, code = np.unique(data.view(np.uint64), return_inverse=True)
+        size = np.diff(first)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        at = np.concatenate([[0], np.cumsum(size[right])])
+        codes = code[np.repeat(first[:-1][right] - at[:-1], size[right]) + np.arange(at[-1])]
+        _, root = np.unique(comp, return_inverse=True)
+        mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+        x, y = [], []
         for i in left:
-            other = right[comp[right] != comp[i]]
-            other = other[plausible(np.broadcast_to(sig[i], (len(other), BANDS * ROWS)), sig[other], threshold, miss)]
-            if most is not None and len(other):
-                begins = np.concatenate([[True], np.diff(comp[other]) != 0])
-                nth = np.arange(len(other)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
-                other = other[nth < most]
-            xs.append(np.full(len(other), ids[i]))
-            ys.append(ids[other])
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.table({"x": pa.array(pairs[:, 0].astype(np.int64)), "y": pa.array(pairs[:, 1].astype(np.int64))})
+            other = np.flatnonzero(root[right] != root[i])
+            other = other[plausible(np.broadcast_to(sig[i], (len(other), BANDS * ROWS)), sig[right[other]], percent / 100, miss)]
+            if not len(other):
+                continue
+            mine = code[first[i]: first[i + 1]]
+            mark[mine] = True
+            if 4 * len(other) > len(right):
+                both = np.add.reduceat(mark[codes], at[:-1], dtype=np.int64)[other]
+            else:
+                n = size[right[other]]
+                begin = np.cumsum(n) - n
+                both = np.add.reduceat(mark[codes[np.repeat(at[other] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+            mark[mine] = False
+            for j in right[other[100 * both >= percent * (len(mine) + size[right[other]] - both)]]:
+                if root[j] != root[i]:
+                    x.append(min(ids[i], ids[j]))
+                    y.append(max(ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
     return run
 
@@ -269,32 +287,24 @@ def near_links(classes: DataFrame, texts: DataFrame, k: int, percent: int, miss:
 
     chain = member.select(F.lag("id").over(Window.partitionBy("bucket").orderBy("id")).alias("x"), F.col("id").alias("y"))
     pairs = member.select("x", F.col("id").alias("y")).unionByName(chain).where("x < y").distinct()
-    tested = written(pairs.join(side(sigs, "x", "sig", "sx"), "x").join(side(sigs, "y", "sig", "sy"), "y").mapInArrow(by_signature(threshold, miss), "x long, y long"))
-    links = exact(tested)
-    most: int | None = 4
-    while True:
-        comp = written(components(links))
-        labelled = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
-        # a bucket of n blocks: block i meets every block j >= i; side -1 comes from i, 1 from j, 0 where both are one
-        dealt = labelled.join(mixed, "bucket").join(sigs, "id").withColumn("n", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-            "bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "comp", "sig",
-            F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), -1).otherwise(1).alias("side"))
-        run = partners(most, threshold, miss)
-        pairs = written(dealt.groupBy("bucket", "i", "j").applyInArrow(run, "x long, y long").distinct().join(tested, ["x", "y"], "left_anti"))
-        if pairs.isEmpty():
-            if most is None:
-                return links, comp
-            most = None
-            continue
-        new = exact(pairs)
-        tested = tested.unionByName(pairs)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-        if most is None:
-            return links, written(components(links))
-        most = most * 8 if most < 256 else None
+    likely = written(pairs.join(side(sigs, "x", "sig", "sx"), "x").join(side(sigs, "y", "sig", "sy"), "y").mapInArrow(by_signature(threshold, miss), "x long, y long"))
+    links = exact(likely)
+    comp = written(components(links))
+    labelled = member.drop("x").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # buckets whose members are not yet one component: all outside the largest one (side 0) meet all (side 1), in blocks
+    sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = written(mixed.select("bucket", "main", F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights")))
+    rows = labelled.join(mixed, "bucket")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = rows.where("comp <> main").select("bucket", deal("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), "id", "comp", F.lit(0).alias("side"))
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), deal("rights").alias("j"), "id", "comp", F.lit(1).alias("side"))
+    dealt = left.unionByName(right).join(sigs, "id").join(sets, "id")
+    new = written(dealt.groupBy("bucket", "i", "j").applyInArrow(compared(percent, miss), "x long, y long").distinct())
+    if new.isEmpty():
+        return links, comp
+    links = links.unionByName(new)
+    return links, written(components(links))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
