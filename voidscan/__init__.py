@@ -1,0 +1 @@
+"""Range emptiness, order indexes and data skipping over DataFrames of keys and query intervals."""
