@@ -258,3 +258,44 @@ def trie_order(t: C) -> Column:
 def text_word(t: C, i: int) -> Column:
     """The i-th run of 64 bits."""
     return F.substr(_c(t), F.lit(64 * i + 1), F.lit(64))
+
+
+# ---- words of a packed bit vector (bit 0 the lowest)
+
+
+def word_rank(word: C, i: C | int) -> Column:
+    """Set bits among the lowest i of a word, 0 <= i <= 63."""
+    return F.bit_count(_c(word).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), _c(i).cast("int")) - 1))
+
+
+def word_select(word: C, r: C | int) -> Column:
+    """Place of the (r + 1)-th set bit of a word; null if it has no more."""
+    w = _c(word)
+    return F.get(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(w, i) == 1), _c(r))
+
+
+def word_zero_run(word: C, i: C | int) -> Column:
+    """Zeros of a word from place i up to the next set bit, or to the end."""
+    w, at = _c(word), _c(i)
+    return F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: (j >= at) & (F.getbit(w, j) == 1)), F.lit(0)) - at, F.lit(64) - at)
+
+
+# ---- lists and maps
+
+
+def mapped(values: C, f) -> Column:
+    """f of each element of an array."""
+    return F.transform(_c(values), f)
+
+
+def mapped_keys(m: C, f) -> Column:
+    return F.transform(F.map_keys(_c(m)), f)
+
+
+def mapped_values(m: C, f) -> Column:
+    return F.transform(F.map_values(_c(m)), f)
+
+
+def mapped_entries(m: C, f) -> Column:
+    """f of (key, value) of each entry."""
+    return F.transform(F.map_entries(_c(m)), lambda e: f(e["key"], e["value"]))

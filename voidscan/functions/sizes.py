@@ -77,6 +77,11 @@ def point_rate(eps: float, length: int) -> float:
     return 1 - (1 - eps) ** (1 / length)
 
 
+def cdf_bits(knots: int) -> int:
+    """Size of a piecewise-linear map: 128 bits for each knot."""
+    return 128 * knots
+
+
 def bloom_shape(n: int, rate: float) -> tuple[int, int]:
     """Bits and hash functions of a Bloom filter of n entries."""
     m = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))

@@ -16,6 +16,18 @@ def is_empty(keys: DataFrame, queries: DataFrame, key: str = "k", a: str = "a",
     return found.withColumn("is_empty", F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), free)).drop("below", "upto", "next", "last")
 
 
+def is_empty_by_split(keys: DataFrame, queries: DataFrame, key: str = "k", a: str = "a", b: str = "b") -> DataFrame:
+    """is_empty for keys >= 0 by another way: below and above the number where a and b part (their common prefix, a one, zeros) the nearest keys
+    decide.  A query needs one look-up of that number."""
+    apart = F.col(a).bitwiseXOR(F.col(b))
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(apart)) - 1, F.lit(0)))
+    middle = F.when(apart == 0, F.col(a)).otherwise(F.col(b).bitwiseAND(-low))
+    found = located(queries.withColumn("_m", middle), keys, "_m", key)
+    held = F.coalesce(F.col("last") >= F.col(a), F.lit(False)) | F.coalesce(F.col("next") <= F.col(b), F.lit(False))
+    answer = F.when(F.col(a) > F.col(b), True).when(F.col(a).isNotNull() & F.col(b).isNotNull(), ~held)
+    return found.withColumn("is_empty", answer).drop("below", "upto", "next", "last", "_m")
+
+
 def first_in(keys: DataFrame, queries: DataFrame, key: str = "k", a: str = "a", b: str = "b") -> DataFrame:
     """queries with first_key, the least key in [a, b], or null."""
     return located(queries, keys, a, key).withColumn("first_key", F.when(F.col("next") <= F.col(b), F.col("next"))).drop("below", "upto", "next", "last")

@@ -49,3 +49,13 @@ def build_study(spark, trials: int, n: int, w: int, s: int, attempts: int = 100,
     t = spark.range(trials).withColumnRenamed("id", "trial").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
     first = t.withColumn("ok", draw < p).groupBy("trial").agg(F.min(F.when(F.col("ok"), F.col("attempt"))).alias("_f"))
     return first.select("trial", F.coalesce("_f", F.lit(attempts)).alias("attempts"), F.col("_f").isNotNull().alias("ok"))
+
+
+def component_sizes(parts: dict[str, DataFrame]) -> DataFrame:
+    """(name, row_count, bytes): rows of each table of a structure, and their bytes at the plain width of their columns."""
+    out = None
+    for name, df in parts.items():
+        width = sum({"bigint": 8, "int": 4, "boolean": 1, "double": 8, "string": 20, "binary": 20}.get(t, 16) for _, t in df.dtypes)
+        r = df.agg(F.lit(name).alias("name"), F.count("*").alias("row_count"), (F.count("*") * width).alias("bytes"))
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -73,10 +73,17 @@ def range_empty_exact(spark, sf):
     return exact.is_empty(k, q).select("qid", "a", "b", "is_empty")
 
 
-@query(f"WITH {_K}, {_Q}, {_T} SELECT qid, CASE WHEN NOT is_empty THEN first_key END AS first_key FROM t")
+@query(f"WITH {_K}, {_Q}, {_T} SELECT qid, is_empty FROM t")
+def range_empty_by_split(spark, sf):
+    """The same answers by the number where the ends of an interval part."""
+    k, q = _both(spark, sf)
+    return exact.is_empty_by_split(k, q).select("qid", "is_empty")
+
+
+@query(f"WITH {_K}, {_Q}, {_T} SELECT qid, CASE WHEN NOT is_empty THEN first_key ELSE -1 END AS first_key FROM t")
 def range_first_key(spark, sf):
     k, q = _both(spark, sf)
-    return exact.first_in(k, q).select("qid", "first_key")
+    return exact.first_in(k, q).select("qid", F.coalesce("first_key", F.lit(-1)).alias("first_key"))
 
 
 @query(f"""WITH {_K}, {_Q}, {_R}, x AS (SELECT q.*, coalesce(r.rank, n) AS lo_ FROM q CROSS JOIN s ASOF LEFT JOIN r ON q.a <= r.k),
@@ -129,22 +136,22 @@ def rank_pairs(spark, sf):
     return order.rank_pairs(k, pairs, "a", "b")
 
 
-@query(f"WITH {_K}, {_R} SELECT o_orderkey AS i, k FROM orders LEFT JOIN r ON r.rank = o_orderkey")
+@query(f"WITH {_K}, {_R} SELECT o_orderkey AS i, coalesce(k, -1) AS k FROM orders LEFT JOIN r ON r.rank = o_orderkey")
 def select_kth(spark, sf):
-    """Null beyond the last key."""
+    """-1 beyond the last key."""
     asked = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"))
-    return order.select_kth(_keys(spark, sf), asked).select("i", "k")
+    return order.select_kth(_keys(spark, sf), asked).select("i", F.coalesce("k", F.lit(-1)).alias("k"))
 
 
-@query(f"WITH {_K}, {_R} SELECT k, prev, rank FROM r")
+@query(f"WITH {_K}, {_R} SELECT k, coalesce(prev, -1) AS prev, rank FROM r")
 def neighbours(spark, sf):
-    return order.neighbours(_keys(spark, sf))
+    return order.neighbours(_keys(spark, sf)).fillna(-1, ["prev"])
 
 
-@query(f"""WITH {_K}, {_Q}, x AS (SELECT q.qid, q.a, k AS next FROM q ASOF LEFT JOIN k ON q.a <= k.k) SELECT x.qid, next, k.k AS last FROM x ASOF LEFT JOIN k ON x.a > k.k""")
+@query(f"""WITH {_K}, {_Q}, x AS (SELECT q.qid, q.a, k AS next FROM q ASOF LEFT JOIN k ON q.a <= k.k) SELECT x.qid, coalesce(next, -1) AS next, coalesce(k.k, -1) AS last FROM x ASOF LEFT JOIN k ON x.a > k.k""")
 def successor_predecessor(spark, sf):
     k, q = _both(spark, sf)
-    return order.located(q, k, "a").select("qid", "next", "last")
+    return order.located(q, k, "a").select("qid", "next", "last").fillna(-1)
 
 
 @query(f"WITH {_K} SELECT n, 1::BIGINT AS least, n AS most, n AS kinds FROM s")
@@ -222,6 +229,30 @@ def bit_strings(spark, sf):
                     (F.substring("a", 1, 5) == F.substring("b", 1, 5)).alias("same_head"), bits.text_successor("a").alias("next"))
 
 
+@query(f"""WITH x AS (SELECT o_orderkey AS id, (o_orderkey * {STEP}) % (1::BIGINT << 40) AS x, (o_orderkey % 40)::INT AS i FROM orders), p AS (SELECT id, list_filter(range(0, 64), lambda j: j < 40 AND ((x >> j) & 1) = 1) AS ones, i, x FROM x)
+SELECT id, bit_count(x & ((1::BIGINT << i) - 1))::INT AS rank, coalesce(ones[i // 4 + 1], -1)::INT AS place, coalesce(list_filter(ones, lambda j: j >= i)[1] - i, 64 - i)::INT AS zeros FROM p""")
+def word_operations(spark, sf):
+    """Rank, select and zero runs inside a word."""
+    t = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * STEP).bitwiseAND(F.lit(bits.mask(40))).alias("x"), (F.col("o_orderkey") % 40).cast("int").alias("i"))
+    return t.select("id", bits.word_rank("x", "i").cast("int").alias("rank"), F.coalesce(bits.word_select("x", F.floor(F.col("i") / 4).cast("int")), F.lit(-1)).alias("place"), bits.word_zero_run("x", "i").alias("zeros"))
+
+
+@query("SELECT o_custkey AS id, sum(o_orderkey * 2)::BIGINT AS doubled, sum(o_orderkey + length(o_orderstatus))::BIGINT AS both FROM orders GROUP BY 1")
+def list_transforms(spark, sf):
+    """Functions over lists, keys, values and entries."""
+    m = _table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("m"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return m.select("id", total(bits.mapped_keys("m", lambda k: k * 2)).alias("doubled"), total(bits.mapped_entries("m", lambda k, v: k + F.length(v))).alias("both"))
+
+
+@query()
+def component_sizes(spark, sf):
+    """Rows and bytes of the parts of a trie and of a filter."""
+    k, w = _trie_keys(spark, sf)
+    t = staged(tries.nodes(k, w))
+    return metrics.component_sizes({"trie": t, "descriptors": tries.descriptors(t), "fingerprints": approx.trunc(k, 18).fp})
+
+
 # ---- tries and prefixes
 
 
