@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: Ones below each bit of a word.
+_BELOW = (U(1) << np.arange(64, dtype=np.uint64)) - U(1)
 
 
 class Bits:
@@ -27,8 +29,7 @@ class Bits:
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Set bits before position i."""
         w = i >> 6
-        below = (U(1) << (i & 63).astype(np.uint64)) - U(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & below)
+        return self.before[w] + np.bitwise_count(self.words[w] & _BELOW[i & 63])
 
 
 class Wavelet:
@@ -76,22 +77,45 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Least:
-    """Smallest value of any range, from a sparse table."""
+    """Smallest value of any range: sparse tables of ranges up to BLOCK, and of whole blocks."""
+
+    BLOCK_LOG = 8
 
     def __init__(self, values: np.ndarray):
-        self.rows = [values]
-        while 2 << (len(self.rows) - 1) <= len(values):
-            last, half = self.rows[-1], 1 << (len(self.rows) - 1)
-            self.rows.append(np.minimum(last[:-half], last[half:]))
-        width = max(len(r) for r in self.rows)
-        self.flat = np.zeros((len(self.rows), width), values.dtype)
-        for k, r in enumerate(self.rows):
-            self.flat[k, : len(r)] = r
+        self.near = self._table(values, self.BLOCK_LOG)
+        starts = np.arange(0, len(values), 1 << self.BLOCK_LOG)
+        self.far = self._table(np.minimum.reduceat(values, starts) if len(values) else values, 63)
+
+    @staticmethod
+    def _table(values: np.ndarray, most: int) -> np.ndarray:
+        rows = [values]
+        while len(rows) <= most and 1 << len(rows) <= len(values):
+            half = 1 << (len(rows) - 1)
+            row = values.copy()
+            row[: len(values) - half] = np.minimum(rows[-1][:-half], rows[-1][half:])
+            rows.append(row)
+        return np.stack(rows)
+
+    @staticmethod
+    def _of(table: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        k = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        return np.minimum(table[k, lo], table[k, hi - (np.int64(1) << k)])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Of values[lo:hi]; every range has a value."""
-        k = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        return np.minimum(self.flat[k, lo], self.flat[k, hi - (np.int64(1) << k)])
+        size = np.int64(1) << self.BLOCK_LOG
+        wide = hi - lo > size
+        if not wide.any():
+            return self._of(self.near, lo, hi)
+        out = np.empty(len(lo), self.near.dtype)
+        out[~wide] = self._of(self.near, lo[~wide], hi[~wide])
+        a, b = lo[wide], hi[wide]
+        ends = np.minimum(self.near[self.BLOCK_LOG, a], self.near[self.BLOCK_LOG, b - size])
+        x, y = -(-a // size), b // size
+        some = y > x
+        ends[some] = np.minimum(ends[some], self._of(self.far, x[some], y[some]))
+        out[wide] = ends
+        return out
 
 
 class FMIndex:

@@ -27,7 +27,7 @@ from voidscan.llm.frames import batches, id_of, own, schema_of, written
 
 GRAM = 20
 #: Segments of one anchor in a shard, and segments in a shard, about.
-SPLIT, SHARD = 16384, 5000
+SPLIT, SHARD = 16384, 16000
 
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
