@@ -30,8 +30,8 @@ from voidscan.llm.frames import batches
 
 SIZE, END = 2048, 1
 #: Costs in tokens of padding: a cut after a sentence, a cut inside one, and a sequence more.
-SENTENCE, INSIDE, SEQUENCE = 24.0, 96.0, 8.0
-STEP = 256
+SENTENCE, INSIDE, SEQUENCE = 8.0, 16.0, 8.0
+STEP = 16
 BLOCK_TOKENS = 1 << 20
 #: Distinct pieces whose ids a worker keeps.
 KEPT_PIECES = 1 << 19
