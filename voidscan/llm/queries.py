@@ -137,4 +137,31 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE = {"op1_chat_format": _OP1_SQL, "op3_substring_dedup": _OP3_SQL, "op7_line_dedup": _OP7_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# items of five words at least, as all of the benchmark are; shorter ones are left to the tests
+_OP2_SQL = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+dg AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM dw WHERE len(w) >= 5)),
+ig AS (SELECT item_id, g, count(*) AS c, any_value(m) AS m FROM (SELECT item_id, len(w) - 4 AS m, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS p FROM iw WHERE len(w) >= 5)) GROUP BY item_id, g),
+c AS (SELECT DISTINCT doc_id, item_id, m FROM dg JOIN ig USING (g)),
+s AS (SELECT doc_id, item_id, m, n, least(m, n) AS size, unnest(range(0, greatest(1, n - m + 1))) AS at_ FROM c JOIN (SELECT doc_id, count(*) AS n FROM dg GROUP BY doc_id) USING (doc_id)),
+h AS (SELECT c.doc_id, c.item_id, dg.p, dg.g, ig.c FROM c JOIN dg USING (doc_id) JOIN ig ON ig.item_id = c.item_id AND ig.g = dg.g),
+b AS (SELECT doc_id, item_id, at_, size, m, sum(least(k, c)) AS met FROM (SELECT s.doc_id, s.item_id, s.at_, s.size, s.m, h.g, any_value(h.c) AS c, count(*) AS k FROM s JOIN h ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND h.p >= s.at_ AND h.p < s.at_ + s.size GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT *, (met / (size + m - met))::DOUBLE AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY met / (size + m - met) DESC, at_) AS nth FROM b)
+SELECT doc_id, item_id, at_ AS start_word, size + 4 AS n_words, similarity FROM t WHERE nth = 1 AND similarity >= 0.8
+"""
+
+_OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 4 THEN array_to_string(w[i:i + 3], ' ') ELSE array_to_string(w, ' ') END AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(s) AS n FROM d LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.x, r.root FROM r JOIN e ON e.y = r.doc_id)
+SELECT doc_id, any_value(n) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE = {"op2_decontamination": _OP2_SQL, "op8_near_dedup": _OP8_SQL, "op1_chat_format": _OP1_SQL, "op3_substring_dedup": _OP3_SQL, "op7_line_dedup": _OP7_SQL}
