@@ -144,7 +144,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     whole = occ.where("id > holder").select("id", "rk", "lo", "hi")
 
     asked = occ.where("id = holder and kinds > 1").select("anchor", "seg", "id", "rk", "lo", "hi", "kinds").dropDuplicates(["anchor", "seg"])
-    shards = 1 + asked.count() // SHARD
+    n = asked.count()
+    shards = 1 + max(n // SHARD, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (SHARD // 4)))
     parts = F.ceil(F.col("kinds") / SPLIT)
     shard = F.when(F.col("kinds") <= SPLIT, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(
         -1 - F.pmod(F.xxhash64(F.col("anchor"), F.pmod(F.col("seg"), parts)), F.lit(1 << 40)))
