@@ -24,14 +24,6 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has `most` rows at most, which is counted; else as it is, for Spark to join as it sees fit."""
-    from pyspark.sql import functions as F
-
-    df = staged(df)
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def physical(df: DataFrame) -> str:
     """The physical plan as text."""
     return df._jdf.queryExecution().executedPlan().toString()
