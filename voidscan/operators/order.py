@@ -55,14 +55,15 @@ def located(points: DataFrame, keys: DataFrame, point: str, key: str = "k") -> D
     both = both.groupBy("v").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
     s = sliced(both, "v")
     before = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a running minimum from the end: a frame to the end in ascending order would be computed anew for each row
+    after = Window.partitionBy("slice").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_key = F.when(F.col("c") > 0, F.col("v"))
     local = s.select("slice", "v", "c", "p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"), F.min(is_key).over(after).alias("n"), F.max(is_key).over(before).alias("l"))
     per = local.groupBy("slice").agg(F.sum("c").alias("t"), F.min(F.when(F.col("c") > 0, F.col("v"))).alias("lo"), F.max(F.when(F.col("c") > 0, F.col("v"))).alias("hi"))
     w = Window.orderBy("slice")
     carried = _carried(per, {
         "t0": F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "n0": F.min("lo").over(w.rowsBetween(1, Window.unboundedFollowing)), "l0": F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+        "n0": F.min("lo").over(Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)), "l0": F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))})
     found = local.where("p").join(F.broadcast(carried), "slice").select(
         F.col("v").alias(point), (F.col("b") + F.col("t0")).alias("below"), (F.col("b") + F.col("t0") + F.col("c")).alias("upto"),
         F.coalesce("n", "n0").alias("next"), F.coalesce("l", "l0").alias("last"))

@@ -2,42 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+#: A number and the unit after it, which is none itself.
+_METRIC = rf"(?<=\s)({_NUMBER})\s+(?!{_NUMBER}(?:\s|$))(\S+)"
+_PARAM = r"(?:^|/)([^/=]*)=([^/]*)"
 #: Units of the standard columns.
 _UNITS = {"ns/op": "ns_per_op", "B/op": "bytes_per_op", "allocs/op": "allocs_per_op"}
 
 
+def _last_wins(keys: Column, values: Column) -> Column:
+    """A map of two arrays; of a key twice the last value counts."""
+    n = F.size(keys)
+    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.reverse(keys), e["k"]) == n - i))
+
+
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """(full_name, benchmark, params, samples, metrics) of lines such as
     BenchmarkX/Keys=1024/Bits=64-8  100  234 ns/op  88.0 bits/key ; other lines are left out.
 
     params: names in lower case, without the trailing -N.  metrics: a number before each unit; of a unit twice the last counts.
     """
-    t = lines.where(F.col(line).startswith("Benchmark")).select(F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != "").alias("t")).where(F.size("t") >= 4)
-    name = F.col("t")[0]
-    rest = F.regexp_extract(name, r"^[^/]*/(.*)$", 1)
-    chunks = F.filter(F.split(F.regexp_replace(rest, r"-[0-9]+$", ""), "/"), lambda c: c.contains("="))
-    pairs = F.transform(chunks, lambda c: F.struct(F.lower(F.substring_index(c, "=", 1)).alias("k"), F.regexp_extract(c, r"^[^=]*=(.*)$", 1).alias("v")))
-    at = F.sequence(F.lit(2), F.size("t") - 1)
-    unit = F.lit(None).cast("string")
-    for k, v in _UNITS.items():
-        unit = F.coalesce(unit, F.when(F.col("u") == k, v))
-    found = F.filter(F.transform(at, lambda i: F.struct(F.get("t", i).alias("u"), F.get("t", i - 1).alias("v"), i.alias("i"))), lambda m: m["v"].rlike(_NUMBER) & ~m["u"].rlike(_NUMBER))
-    clean = lambda u: F.replace(F.replace(u, F.lit("/"), F.lit("_")), F.lit("."), F.lit(""))
-
-    def named(m):
-        out = clean(m["u"])
+    some = lines.where(F.col(line).rlike(r"^Benchmark\S*\s+\S+\s+\S+\s+\S"))
+    name = F.regexp_extract(line, r"^(\S+)", 1)
+    rest = F.regexp_replace(F.regexp_extract(line, r"^[^/\s]*/(\S*)", 1), r"-[0-9]+$", "")
+    count = F.regexp_extract(line, r"^\S+\s+([0-9]+)(?:\s|$)", 1)
+    t = some.select(
+        name.alias("full_name"), F.substring_index(name, "/", 1).alias("benchmark"), F.when(count != "", count.cast("long")).alias("samples"),
+        F.transform(F.regexp_extract_all(rest, F.lit(_PARAM), F.lit(1)), F.lower).alias("_pk"), F.regexp_extract_all(rest, F.lit(_PARAM), F.lit(2)).alias("_pv"),
+        F.regexp_extract_all(line, F.lit(_METRIC), F.lit(2)).alias("_u"), F.regexp_extract_all(line, F.lit(_METRIC), F.lit(1)).cast("array<double>").alias("_v"))
+
+    def named(u: Column) -> Column:
+        out = F.replace(F.replace(u, F.lit("/"), F.lit("_")), F.lit("."), F.lit(""))
         for k, v in _UNITS.items():
-            out = F.when(m["u"] == k, v).otherwise(out)
+            out = F.when(u == k, v).otherwise(out)
         return out
 
-    metrics = F.transform(found, lambda m: F.struct(named(m).alias("k"), m["v"].cast("double").alias("v")))
-    last = F.map_from_entries(F.filter(metrics, lambda m, i: ~F.exists(F.slice(F.transform(metrics, lambda x: x["k"]), i + 2, F.greatest(F.size(metrics) - i - 1, F.lit(0))), lambda k: k == m["k"])))
-    distinct = F.map_from_entries(F.filter(pairs, lambda m, i: ~F.exists(F.slice(F.transform(pairs, lambda x: x["k"]), i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda k: k == m["k"])))
-    return t.select(name.alias("full_name"), F.substring_index(name, "/", 1).alias("benchmark"), distinct.alias("params"), F.when(F.col("t")[1].rlike("^[0-9]+$"), F.col("t")[1].cast("long")).alias("samples"), last.alias("metrics"))
+    t = t.withColumn("_u", F.transform("_u", named))
+    return t.select("full_name", "benchmark", _last_wins(F.col("_pk"), F.col("_pv")).alias("params"), "samples", _last_wins(F.col("_u"), F.col("_v")).alias("metrics"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
