@@ -44,7 +44,7 @@ def fold(events: DataFrame) -> DataFrame:
     order = [F.col(c) for c in ("seq", "turn", "kind", "role", "text")]
     kind = F.coalesce(F.col("kind"), F.lit("delta"))
     later = Window.partitionBy("conv_id").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.partitionBy("conv_id", "turn").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    rest = Window.partitionBy("conv_id", "turn").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     live = events.withColumn("__cut", F.min(F.when(kind == "regenerate", F.col("turn"))).over(later)).where(F.coalesce(F.col("__cut") >= F.col("turn"), F.lit(True)))
     live = live.withColumn("__anew", F.coalesce(F.sum(F.when(kind.isin("message", "edit", "regenerate"), 1).otherwise(0)).over(rest), F.lit(0)))
     part = F.struct(*order[:1], F.col("turn"), F.col("kind"), F.col("role"), F.when(F.col("__anew") == 0, F.coalesce("text", F.lit(""))).otherwise("").alias("text"))
