@@ -46,7 +46,7 @@ def features() -> list[Column]:
         F.size(F.array_distinct(F.split(v, ""))) / n, v.rlike("^[0-9a-fA-F]+$").cast("int"),
         1 - F.length(F.regexp_replace(low, _LONG_WORDS, "")) / n, _count(low, "[aeiou]") / n,
         F.col("before").rlike(_NAME).cast("int"),
-        near.rlike("commit|revision|sha[0-9]*|md5|checksum|digest|uuid|guid|etag|version|build|hash|serial|isbn|order|invoice").cast("int"),
+        near.rlike(r"\b(?:commit|revision|sha[0-9]*|md5|checksum|digest|uuid|guid|etag|version|build|hash|serial|isbn|order|invoice)\b").cast("int"),
         low.rlike(r"example|sample|dummy|test|change_?me|placeholder|your|xxxx|1234567|abcdef|\*\*\*|<|\$|\{").cast("int"),
         v.rlike(r"/[A-Za-z0-9_-]+/|\.[a-z]{2,4}$|^https?:").cast("int"),
         F.lower(F.coalesce("path", F.lit(""))).rlike("test|example|sample|fixture|mock|docs?/").cast("int"),
@@ -121,7 +121,7 @@ def _sql(tree) -> str:
     return f"CASE WHEN f_{FEATURES[f]} <= {at!r}D THEN {_sql(low)} ELSE {_sql(high)} END"
 
 
-def forest(findings: DataFrame, trees: int = 15, depth: int = 6, least: int = 5, max_findings: int = 20_000, seed: int = 3) -> str:
+def forest(findings: DataFrame, trees: int = 11, depth: int = 5, least: int = 5, max_findings: int = 20_000, seed: int = 3) -> str:
     """SQL for the share of secrets that a random forest predicts from the feature columns.
 
     Grown from `max_findings` labelled findings at most, chosen by their hash.  Without findings of both labels it keeps every candidate.
