@@ -49,10 +49,9 @@ def located(points: DataFrame, keys: DataFrame, point: str, key: str = "k") -> D
 
     Equal keys count each; null keys don't.  A null point has nulls.  Points of one value are looked up once and joined back by value.
     """
-    values = points.select(F.col(point).alias("v")).where("v is not null").distinct()
-    ks = keys.select(F.col(key).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
-    both = ks.select("v", "c", F.lit(False).alias("p")).unionByName(values.select("v", F.lit(0).cast("long").alias("c"), F.lit(True).alias("p")))
-    both = both.groupBy("v").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
+    asked = points.select(F.col(point).alias("v"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("p"))
+    held = keys.select(F.col(key).alias("v"), F.lit(1).cast("long").alias("c"), F.lit(False).alias("p"))
+    both = held.unionByName(asked).where("v is not null").groupBy("v").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
     s = sliced(both, "v")
     before = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     # a running minimum from the end: a frame to the end in ascending order would be computed anew for each row

@@ -17,7 +17,8 @@ def _last_wins(keys: Column, values: Column) -> Column:
     """A map of two arrays; of a key twice the last value counts."""
     n = F.size(keys)
     entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.reverse(keys), e["k"]) == n - i))
+    last = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.reverse(keys), e["k"]) == n - i))
+    return F.when(F.size(F.array_distinct(keys)) == n, F.map_from_arrays(keys, values)).otherwise(last)
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
