@@ -9,6 +9,9 @@ polynomial modulo 2**64 with a random odd base, followed by a finaliser; every s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -201,3 +204,10 @@ def joined(chunk: Chunk, w: Words, keep: np.ndarray) -> list[bytes]:
 
 def column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
+
+
+def release() -> None:
+    """Give memory that is free again back to the system, after work on the driver that needed much of it for a while."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -357,7 +357,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if size > max_bytes:
             break
         texts.append((r["text"], r["label"]))
-    return train([t for t, _ in texts], np.array([y for _, y in texts], int))
+    model = train([t for t, _ in texts], np.array([y for _, y in texts], int))
+    del texts
+    tk.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
