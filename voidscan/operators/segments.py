@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voidscan.operators.order import kth_smallest, located, neighbours, ranked, running_sum
-from voidscan.plans.stage import staged
+from voidscan.plans.stage import importable, staged
 
 
 def _islands(rows: DataFrame, cut, key: str) -> DataFrame:
@@ -115,6 +115,7 @@ def merged_segments(segments: DataFrame, k: int) -> DataFrame:
             rows = out
         yield pd.DataFrame([(s, *r) for s, r in enumerate(rows)], columns=["seg", "min_k", "max_k", "n"]).astype("int64")
 
+    importable(segments.sparkSession)
     return segments.select("seg", "min_k", "max_k", "n").coalesce(1).mapInPandas(merge, "seg long, min_k long, max_k long, n long")
 
 
@@ -150,6 +151,7 @@ def optimal_segments(keys: DataFrame, k: int, key: str = "k", most: int = 20_000
         cut = cut[::-1]
         yield pd.DataFrame({"seg": range(len(cut) - 1), "min_k": v[cut[:-1]], "max_k": v[np.array(cut[1:]) - 1], "n": np.diff(cut)}).astype("int64")
 
+    importable(keys.sparkSession)
     return distinct.coalesce(1).mapInPandas(solve, "seg long, min_k long, max_k long, n long")
 
 

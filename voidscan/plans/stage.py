@@ -6,7 +6,9 @@ and executors share (spark.checkpoint.dir), and read again.  A lost executor cos
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,17 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package, wherever the driver was started.
+
+    On a cluster whose machines don't have it under the same path, ship it with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    held = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in held:
+        env["PYTHONPATH"] = os.pathsep.join([*held, root])
+
+
 def physical(df: DataFrame) -> str:
     """The physical plan as text."""
     return df._jdf.queryExecution().executedPlan().toString()

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voidscan.plans.stage import importable
+
 
 def read_keys(spark: SparkSession, path: str, first: int | None = None, bits: int | None = 60) -> DataFrame:
     """(file, k): distinct keys of each file, of the `first` in it if given, and of their low `bits` bits if given; else keys of 64 bits with
@@ -25,6 +27,7 @@ def read_keys(spark: SparkSession, path: str, first: int | None = None, bits: in
                 v = v & np.uint64((1 << bits) - 1) if bits else v ^ np.uint64(1 << 63)
                 yield pd.DataFrame({"file": path, "k": np.unique(v.view(np.int64))})
 
+    importable(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, k long")
 
 
