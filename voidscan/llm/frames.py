@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voidscan.plans.stage import importable, staged
+
 #: Stands for a null id: it sorts before every other.
 NO_ID = -(2**63)
 
@@ -32,22 +32,14 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; /tmp only where none is set."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{top.rstrip('/')}/voidscan-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df)
 
 
 def batches(spark: SparkSession, rows: int = 2000) -> None:
     """Rows and bytes of an Arrow batch: long documents make batches heavy, so the session's limits are lowered, never raised."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
