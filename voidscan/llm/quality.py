@@ -140,6 +140,12 @@ def distance() -> Column:
     return total
 
 
+def bounded(groups: DataFrame, most: int = 20_000) -> DataFrame:
+    """A table with a row for each group, to be broadcast if it has `most` rows at most (some 5 MB), which is counted; else joined as Spark sees
+    fit.  Without a shuffle of the rows a hot group stays spread over tasks, and what follows sums it up in parts."""
+    return F.broadcast(groups) if groups.count() <= most else groups
+
+
 def concentrated(rows: DataFrame, share: float, steps: int) -> DataFrame:
     """(group, mean, inverse covariance) by concentration steps over rows (group, x0..x4)."""
     quartiles = rows.groupBy("group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)])
@@ -147,9 +153,9 @@ def concentrated(rows: DataFrame, share: float, steps: int) -> DataFrame:
         (1 / (((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)]))
     factor = consistency(share, DIM)
     for _ in range(steps):
-        near = rows.join(model, "group").withColumn("d", distance())
-        bound = near.groupBy("group").agg(F.percentile_approx("d", share, 5000).alias("bound"))
-        sums = near.join(bound, "group").where("d <= bound").groupBy("group").agg(
+        near = rows.join(bounded(model), "group").withColumn("d", distance())
+        bound = written(near.groupBy("group").agg(F.percentile_approx("d", share, 5000).alias("bound")))
+        sums = near.join(bounded(bound), "group").where("d <= bound").groupBy("group").agg(
             F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(DIM) for j in range(i, DIM)])
         model = written(sums.mapInArrow(_inverted(factor), _MODEL))
     return model
@@ -171,12 +177,12 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
                     .withColumns({"__own": group(lang_col, source_col), "__pool": group(lang_col)}))
     some = stats.where("not base_failed")
     sizes = written(some.groupBy("__own").agg(F.count("*").alias("__size")))
-    named = stats.join(sizes, "__own", "left").withColumn("group", F.when(F.col("__size") >= least, F.col("__own")).otherwise(F.col("__pool")))
+    named = stats.join(bounded(sizes), "__own", "left").withColumn("group", F.when(F.col("__size") >= least, F.col("__own")).otherwise(F.col("__pool")))
     named = named.withColumns({f"x{i}": x for i, x in enumerate(vector())})
     rows = written(named.where("not base_failed").select("group", *[f"x{i}" for i in range(DIM)]))
     enough = rows.groupBy("group").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("group")
     model = concentrated(rows, share, steps).join(enough, "group", "left_semi")
-    out = named.join(written(model), "group", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
+    out = named.join(bounded(written(model)), "group", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
     limit = chi_square(1 - beyond, DIM)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit))
     return out.select(*[c for c in docs.columns if c != text_col], *COUNTS, "base_failed", "distance", "kept")
