@@ -138,8 +138,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     # as a table: both sides of the join then come from a shuffle of their own, and Spark can split a hot anchor's partition
     common = written(found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor"))
     occ = written(found.join(common, "anchor"))
-    segs = occ.groupBy("anchor", "seg").agg(F.min("id").alias("holder"))
-    kinds = segs.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    segs = written(occ.groupBy("anchor", "seg").agg(F.min("id").alias("holder")))
+    kinds = written(segs.groupBy("anchor").agg(F.count("*").alias("kinds")))
     occ = written(occ.join(segs.join(kinds, "anchor"), ["anchor", "seg"]))
     whole = occ.where("id > holder").select("id", "rk", "lo", "hi")
 
