@@ -359,6 +359,27 @@ def test_language_identification(spark, docs, empty):
     assert language.predict(docs, model).count() == len(sample())
 
 
+@pytest.mark.parametrize("max_cells", [0, 100, 6000])
+def test_language_model_keeps_rare_languages_and_grams(spark, max_cells):
+    r = np.random.Generator(np.random.PCG64(12))
+    letters = {"aa": "abcdefgh ", "bb": "abcdmnop ", "rare": "efghijkl "}
+    make = lambda lang, n: "".join(r.choice(list(letters[lang]), n))
+    rows = [(make(lang, 200), lang) for lang in ["aa", "bb"] * 100] + [(make("rare", 400), "rare")] * 2
+    train = spark.createDataFrame(rows, "text string, lang string")
+    whole, model = language.fit(train), language.fit(train, max_cells=max_cells)
+    asked = spark.createDataFrame([(i, make(lang, 60), lang) for i, lang in enumerate(["aa", "bb", "rare"] * 10)], "doc_id long, text string, want string")
+    got, same = (language.predict(asked, m).orderBy("doc_id").collect() for m in (model, whole))
+    assert all(x["lang_pred"] == x["want"] for x in got)
+    assert [x["lang_pred"] for x in got] == [x["lang_pred"] for x in same] and np.allclose([x["lang_score"] for x in got], [x["lang_score"] for x in same], atol=1e-4)
+    assert np.allclose(model.mean, whole.mean) and np.allclose(model.sd, whole.sd)
+    # the model's log-probabilities are those of the formula, held or backed off
+    key = np.unique(language.fourgrams(*language.units(next(textkit.chunks(pa.array([t for t, _ in rows[:3]] + [rows[-1][0], "zzzz"]))))))
+    counts = [np.unique(language.fourgrams(*language.units(next(textkit.chunks(pa.array([t for t, y in rows if y == x]))))), return_counts=True) for x in model.langs]
+    n = len(np.unique(np.concatenate([k for k, _ in counts]) & np.uint64(0xFFFF)))
+    want = np.stack([np.log(language._KneserNey(k, c.astype(float), n).prob(4, key)) for k, c in counts], 1)
+    assert np.allclose(model.logs(key), want, atol=1e-4)
+
+
 def test_language_probabilities_add_up():
     key, n = np.unique(language.fourgrams(*language.units(next(textkit.chunks(pa.array([prose(500, 3)]))))), return_counts=True)
     m = language._KneserNey(key, n.astype(float), len(np.unique(key & np.uint64(0xFFFF))))

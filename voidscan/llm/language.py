@@ -2,7 +2,8 @@
 
 Fitting counts the character 4-grams of every training text per language: each task sums up what it sees, Spark adds the sums.  From
 those counts the driver derives continuation counts and discounts of all orders, and for each 4-gram that any language has the
-smoothed log-probability in every language.  The model is a few sorted arrays of 64-bit hashes with a row of floats each.
+smoothed log-probability in every language.  The model holds every n-gram of every language, in sorted arrays of 64-bit hashes with an
+entry for each language that has it; the most frequent 4-grams also have a row of floats, ready for use.
 
 Characters are UTF-16 units, lower-cased one by one; digits count as 0 and blanks as a space.  A text begins after three spaces.
 
@@ -143,19 +144,43 @@ class Table:
         return out
 
 
+class Sparse:
+    """A value for each (key, language) that occurs."""
+
+    def __init__(self, keys: np.ndarray, lang: np.ndarray, values: np.ndarray):
+        order = np.lexsort((lang, tk.mix(keys)))
+        keys = keys[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.table = Table(keys[new], np.zeros((len(new), 0)))
+        self.first = np.append(new, len(keys))
+        self.lang, self.values = lang[order].astype(np.int32), values[order].astype(np.float32)
+
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the keys, language and value, for all that is held of them."""
+        place = self.table.place(keys)
+        hit = np.flatnonzero(place >= 0)
+        lo = self.first[place[hit]]
+        n = self.first[place[hit] + 1] - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(hit, n), self.lang[at], self.values[at]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    tables: list[Table]  # log-probabilities of 1- to 4-grams that any language has
-    backoff: list[Table]  # log back-off weights after contexts of 1 to 3
-    floor: np.ndarray  # log-probability of a character that none has
+    ready: Table  # log-probabilities in all languages of the most frequent 4-grams
+    grams: list[Sparse]  # log-probabilities of all 1- to 4-grams in the languages that have them
+    backoff: list[Sparse]  # log back-off weights after contexts of 0 to 3
+    floor: float  # log-probability of a character that a language lacks, before its back-off weights
     mean: np.ndarray
     sd: np.ndarray
 
     def logs(self, key: np.ndarray) -> np.ndarray:
         """Log-probability of each 4-gram in each language."""
-        place = self.tables[3].place(key)
-        out = self.tables[3].values[np.maximum(place, 0)]
+        if not len(self.ready.hashes):
+            return self._backed(key)
+        place = self.ready.place(key)
+        out = self.ready.values[np.maximum(place, 0)]
         left = np.flatnonzero(place < 0)
         if len(left):
             out[left] = self._backed(key[left])
@@ -164,18 +189,15 @@ class Model:
     def _backed(self, key: np.ndarray) -> np.ndarray:
         key, inverse = np.unique(key, return_inverse=True)
         out = np.zeros((len(key), len(self.langs)), np.float32)
-        left = np.arange(len(key))
-        for order in (3, 2, 1, 0):
-            context = key[left] >> tk.U(16) & tk.U((1 << 16 * order) - 1)
-            if order:
-                p = self.backoff[order - 1].place(context)
-                out[left] += np.where(p[:, None] >= 0, self.backoff[order - 1].values[np.maximum(p, 0)], 0)
-                p = self.tables[order - 1].place(key[left] & tk.U((1 << 16 * order) - 1))
-                hit = p >= 0
-                out[left[hit]] += self.tables[order - 1].values[p[hit]]
-                left = left[~hit]
-            else:
-                out[left] += self.floor
+        left = np.ones(out.shape, bool)
+        for order in (4, 3, 2, 1):
+            gram = key & tk.U((1 << 16 * order) - 1)
+            row, lang, value = self.grams[order - 1].entries(gram)
+            out[row, lang] += np.where(left[row, lang], value, 0)
+            left[row, lang] = False
+            row, lang, value = self.backoff[order - 1].entries(gram >> tk.U(16))
+            out[row, lang] += np.where(left[row, lang], value, 0)
+        out[left] += self.floor
         return out[inverse]
 
 
@@ -221,49 +243,44 @@ class _KneserNey:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_cells: int = 1 << 24) -> Model:
     """Count all rows of docs and build the model.
 
-    The model has a float for each 4-gram and language, `max_cells` at most (64 MB); if the corpus has more, the 4-grams with the least
-    counts are left out, as many counts as it takes.  The counts are of all rows.
+    The model has an entry for each 4-gram of each language, some 30 bytes; none is left out.  `max_cells` bounds the floats (64 MB) of
+    the rows that are ready for use: the most frequent 4-grams have one, others are looked up language by language, with equal results.
     """
     batches(docs.sparkSession)
     from voidscan.llm.frames import written
 
     counts = written(count_grams(docs, text_col, lang_col))
-    histogram = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("kinds"), F.count_distinct("lang").alias("langs")).orderBy(F.desc("n")).collect()
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if not langs:
-        none = Table(np.zeros(0, np.uint64), np.zeros((0, 0)))
-        return Model([], [none] * 4, [none] * 3, np.zeros(0), np.zeros(0), np.zeros(0))
-    least, kinds = 1, 0
-    for r in histogram:
-        kinds += r["kinds"]
-        if kinds * len(langs) > max_cells:
-            least = r["n"] + 1
-            break
-    rows = counts.where(F.col("n") >= least).toPandas()
-    key, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    lang = rows["lang"].to_numpy()
-    union = {4: np.unique(key)}
-    for o in (3, 2, 1):
-        union[o] = np.unique(union[o + 1] & tk.U((1 << 16 * o) - 1))
-    own_models = []
-    for x in langs:
-        mine = lang == x
-        order = np.argsort(key[mine])
-        own_models.append(_KneserNey(key[mine][order], n[mine][order].astype(float), len(union[1])) if mine.any() else None)
-    flat = lambda f, m: np.stack([f(x) if x else np.full(m, 1e-9) for x in own_models], 1)
-    tables = [Table(union[o], np.log(flat(lambda x, o=o: x.prob(o, union[o]), len(union[o])))) for o in (1, 2, 3, 4)]
-    contexts = {o: np.unique(union[o + 1] >> tk.U(16)) for o in (1, 2, 3)}
-    backoff = [Table(contexts[o], np.log(flat(lambda x, o=o: x.weight(o + 1, contexts[o]), len(contexts[o])))) for o in (1, 2, 3)]
-    zero = np.zeros(1, np.uint64)
-    floor = np.log(flat(lambda x: x.weight(1, zero) * x.base, 1))[0]
+        none = Sparse(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+        return Model([], none.table, [none] * 4, [none] * 4, 0.0, np.zeros(0), np.zeros(0))
+    numbers = docs.sparkSession.createDataFrame(list(zip(langs, range(len(langs)))), "lang string, number int")
+    rows = counts.join(F.broadcast(numbers), "lang").select("number", "key", "n").toArrow()
+    number, key, n = (np.asarray(rows.column(c)) for c in ("number", "key", "n"))
+    del rows
+    order = np.lexsort((key.view(np.uint64), number))
+    number, key, n = number[order], key[order].view(np.uint64), n[order].astype(float)
+    bounds = np.searchsorted(number, np.arange(len(langs) + 1))
+    letters = len(np.unique(key & tk.U(0xFFFF)))
+    own_models = [_KneserNey(key[a:b], n[a:b], letters) for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def sparse(parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+        return Sparse(np.concatenate([k for k, _ in parts]), np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts]), np.log(np.concatenate([v for _, v in parts])))
+
+    grams = [sparse([(x.grams[o][0], x.prob(o, x.grams[o][0])) for x in own_models]) for o in (1, 2, 3, 4)]
+    backoff = [sparse([(x.contexts[o][0], x.weight(o, x.contexts[o][0])) for x in own_models]) for o in (1, 2, 3, 4)]
+    union, total = _summed(key, n)
+    most = max_cells // len(langs)
+    if len(union) > most:
+        union = union[np.sort(np.argsort(-total, kind="stable")[:most])]
+    ready = Table(union, np.stack([np.log(x.prob(4, union)) for x in own_models], 1))
     mean, sd = np.zeros(len(langs)), np.zeros(len(langs))
     for i, x in enumerate(own_models):
-        if x:
-            k, c = x.grams[4]
-            h = -np.log(x.prob(4, k))
-            mean[i] = (c * h).sum() / c.sum()
-            sd[i] = np.sqrt((c * (h - mean[i]) ** 2).sum() / c.sum())
-    return Model(langs, tables, backoff, floor.astype(np.float32), mean, sd)
+        k, c = x.grams[4]
+        h = -np.log(x.prob(4, k))
+        mean[i] = (c * h).sum() / c.sum()
+        sd[i] = np.sqrt((c * (h - mean[i]) ** 2).sum() / c.sum())
+    return Model(langs, ready, grams, backoff, float(np.log(own_models[0].base)), mean, sd)
 
 
 def entropies(model: Model, chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
