@@ -271,6 +271,19 @@ def test_quality_counts_and_outliers(spark, docs, empty):
     assert {r["doc_id"] for r in got if not r["kept"]} == {500 + i for i in range(6)}
 
 
+def test_quality_rejects_outliers_of_each_statistic(spark):
+    word = lambda i: VOCABULARY[i % 400] + VOCABULARY[(i * 7 + i // 400) % 400]
+    plain = lambda seed, n: " ".join(word(int(i)) for i in np.random.Generator(np.random.PCG64(seed)).permutation(4000)[:n])
+    w = plain(1, 100).split()
+    planted = [(" ".join(word(i) for i in range(8000)), "n_words"), (" ".join(4 * x for x in w), "word_chars"), (" ".join(x[:-1] + "#" for x in w), "n_symbols"),
+               ("\n".join(f"{w[0]}\n{w[1]}\n{x}" for x in w[2:40]), "n_dup_lines"), (" ".join(w[:56] + 2 * w[56:78]), "n_repeat_words")]
+    rows = [(i, plain(100 + i, 80 + i % 50), "en", "s") for i in range(300)] + [(1000 + i, t, "en", "s") for i, (t, _) in enumerate(planted)]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + i]["base_failed"] for i in range(5))
+    assert [name for i, (_, name) in enumerate(planted) if got[1000 + i]["kept"]] == []
+    assert all(got[i]["kept"] for i in range(300))
+
+
 def test_chi_square():
     assert abs(quality.chi_square(0.95, 5) - 11.0705) < 1e-3 and abs(quality.chi_square(0.5, 2) - 1.38629) < 1e-4
 

@@ -24,8 +24,9 @@ from voidscan.llm.line_dedup import lines
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = 5
-#: Least standard deviations of the transformed statistics: tight groups don't reject ordinary spread.
-FLOOR = (0.5, 0.12, 0.6, 1.2, 1.2)
+#: Least standard deviations of the transformed statistics: tight groups don't reject ordinary spread.  A wider group keeps its own.  Each is
+#: small enough that its statistic alone can pass the limit: shares of equal lines and repeated words do from some 37 % on in a group without any.
+FLOOR = (0.5, 0.12, 0.6, 0.8, 0.8)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -110,7 +111,7 @@ def consistency(share: float, dim: int) -> float:
 
 
 def _inverted(factor: float):
-    """From sums of a group to its mean and inverse covariance, with the floors on the diagonal."""
+    """From sums of a group to its mean and inverse covariance, with no variance below its floor."""
 
     def rows(it):
         for t in it:
@@ -121,7 +122,10 @@ def _inverted(factor: float):
             for i in range(DIM):
                 for j in range(i, DIM):
                     cov[:, i, j] = cov[:, j, i] = np.asarray(t.column(f"s{i}{j}")) / n - mean[:, i] * mean[:, j]
-            inverse = np.linalg.inv(factor * cov + np.diag(np.square(FLOOR)))
+            cov *= factor
+            at = np.arange(DIM)
+            cov[:, at, at] = np.maximum(cov[:, at, at], np.square(FLOOR))
+            inverse = np.linalg.inv(cov + np.diag(1e-4 * np.square(FLOOR)))  # invertible whatever the correlations
             yield pa.RecordBatch.from_arrays([t.column(0), *[pa.array(mean[:, i]) for i in range(DIM)], *[pa.array(inverse[:, i, j]) for i in range(DIM) for j in range(i, DIM)]],
                                              names=["group", *[f"m{i}" for i in range(DIM)], *[f"p{i}{j}" for i in range(DIM) for j in range(i, DIM)]])
 
@@ -150,7 +154,7 @@ def concentrated(rows: DataFrame, share: float, steps: int) -> DataFrame:
     """(group, mean, inverse covariance) by concentration steps over rows (group, x0..x4)."""
     quartiles = rows.groupBy("group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)])
     model = written(quartiles.select("group", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)], *[
-        (1 / (((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)]))
+        (1 / F.greatest(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2, F.lit(FLOOR[i] ** 2)) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)]))
     factor = consistency(share, DIM)
     for _ in range(steps):
         near = rows.join(bounded(model), "group").withColumn("d", distance())
@@ -161,7 +165,7 @@ def concentrated(rows: DataFrame, share: float, steps: int) -> DataFrame:
     return model
 
 
-def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 4, beyond: float = 1e-6, least: int = 50, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 4, beyond: float = 1e-3, least: int = 50, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """The rows of docs, without their text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance and kept.
 
     base_failed: fewer than `min_words` words, or more than `max_repeat_percent` % of them in 3-word windows that occur twice or more.
