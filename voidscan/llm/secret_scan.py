@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.  DataFrame operations only.
 
-Candidates are what follows a word such as "password" and an equals sign or colon, and long runs of letters and digits.  Features are SQL
+Candidates are what follows a word such as "password" and an equals sign or colon, long runs of letters and digits, and keys with a known
+prefix inside either.  Values are whole, however long.  Features are SQL
 expressions of the candidate, the words around it and the path.  The forest is grown on the driver from a bounded table of labelled
 findings, and becomes one SQL expression; scoring is part of the plan like any other column.
 """
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from voidscan.llm.frames import own
 
 _NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)"
-#: A named value, or a run of 16 characters at least with a digit among its first 40.
-CANDIDATE = _NAME + r"""["']?[ \t]{0,2}[:=][ \t]{0,2}["']?[^\s"',;]{6,512}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{16,512}"""
+#: A named value, or a run of 16 characters at least with a digit.  Possessive quantifiers keep the scan linear.
+CANDIDATE = _NAME + r"""["']?[ \t]{0,2}[:=][ \t]{0,2}["']?[^\s"',;]{6,}+|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"""
+#: Keys with a known prefix, after the start of a value.
+INNER = r"(?<=.)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[po]_[A-Za-z0-9]{20,}+|xox[bp]-[A-Za-z0-9-]{16,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{24,}+|eyJ[A-Za-z0-9_-]{16,}+)"
 _SPLIT = "(?s)^" + _NAME + r"""["']?[ \t]{0,2}[:=][ \t]{0,2}["']?"""
 # Words that ordinary identifiers, paths and prose are made of.
 WORDS = ("about after again all and any app are array back base before between bool build button byte call can case char check class client code color "
@@ -144,7 +147,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     some = docs.select(F.col(id_col).alias("__id"), path.alias("path"), F.col(text_col).alias("__text")).where(F.col("__text").rlike(CANDIDATE))
     line = some.select("__id", "path", F.posexplode(F.split("__text", "\n")).alias("line", "__line")).where(F.col("__line").rlike(CANDIDATE))
-    found = line.select("__id", "path", "line", "__line", F.posexplode(F.regexp_extract_all("__line", F.lit(CANDIDATE), F.lit(0))).alias("nth", "__found"))
+    inner = lambda x: F.regexp_extract_all(F.regexp_replace(x, _SPLIT, ""), F.lit(INNER), F.lit(0))
+    every = F.flatten(F.transform(F.regexp_extract_all("__line", F.lit(CANDIDATE), F.lit(0)), lambda x: F.concat(F.array(x), inner(x))))
+    found = line.select("__id", "path", "line", "__line", F.posexplode(every).alias("nth", "__found"))
     at = F.instr("__line", F.col("__found"))
     name = F.regexp_extract("__found", _SPLIT, 0)
     return found.select(
@@ -156,7 +161,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """(id, line, nth, kind, value, n_chars, score, is_secret): a row for each candidate of each text.
 
-    line counts from 0, nth from 0 within the line.  A value that a line holds twice has the surroundings of its first place.  A null or empty
+    line counts from 0, nth from 0 within the line; keys inside a value follow it.  A value that a line holds twice has the surroundings of its first place.  A null or empty
     text has no candidates; a null path is no path; a null id stays null; repeated rows give their findings each.  An empty table gives no
     rows.  Other columns are not used.
     """
