@@ -211,6 +211,22 @@ def test_toxicity_operator_passes_rows_through(spark, docs, empty):
     assert toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).where("toxic = 1").count() == 0
 
 
+def test_toxicity_reads_on_after_a_text_that_does_not_fit(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, label: seen.update(got=sorted(zip(texts, label.tolist()))))
+    rows = [(i, prose(10, i), i % 2) for i in range(40)]
+    big = [(100 + i, prose(3000, i), i % 2) for i in range(20)]  # some come first by hash
+    fit = lambda rows, most: toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), max_bytes=most)
+    fit(rows + big, 10_000)
+    assert seen["got"] == sorted((t, y) for _, t, y in rows)
+    fit(rows[::2] + [(1, "é" * 4000, 1)], 9000)  # 8000 bytes: half is not enough, but the other label leaves room or not
+    assert {y for _, y in seen["got"]} == {0, 1} and len(seen["got"]) == 21
+    fit(big[:4], 1000)
+    assert sorted(y for _, y in seen["got"]) == [0, 1]
+    with pytest.raises(ValueError):
+        fit([(1, "some words", 0), (2, " . ", 1)], 1000)
+
+
 def test_packing_round_trip(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     from public_tokenizers import path

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voidscan.llm import textkit as tk
-from voidscan.llm.frames import batches, own, schema_of
+from voidscan.llm.frames import batches, own, schema_of, written
 
 WINDOW, STRIDE = 32, 16
 WORD_BITS, CHAR_BITS = 16, 16
@@ -341,7 +341,12 @@ def _some(x: Inputs, idx: np.ndarray) -> tuple[Inputs, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 4000, max_bytes: int = 16 << 20) -> Model:
-    """Train on a bounded sample of labelled texts: `max_docs` / 2 of each label by the hash of their ids, `max_bytes` of text."""
+    """Train on a bounded sample of labelled texts: `max_docs` / 2 of each label by the hash of their ids, `max_bytes` of text in UTF-8.
+
+    Each label may take half of the bytes, and what the other leaves.  A text that doesn't fit is passed over, and those after it are
+    read; a label whose texts with words are all too large has its smallest one, whole.  Texts of both labels of which one kind has
+    no word are an error.
+    """
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
     chosen = None
     for label in (0, 1):
@@ -350,13 +355,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = chosen.collect()  # max_docs pairs of numbers
     spark = docs.sparkSession
     held = F.broadcast(spark.createDataFrame(rows, "id long, label int"))
-    texts, size = [], 0
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(held, "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    for r in found.toLocalIterator():
-        size += len(r["text"] or "")
-        if size > max_bytes:
-            break
-        texts.append((r["text"], r["label"]))
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(held, "id")
+    found = written(found.select("label", "text", F.xxhash64("id").alias("at"), "id", F.xxhash64("text").alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"),
+                                 F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7f]"), F.lit(False)).alias("words")))
+    want = {r["label"]: r for r in found.groupBy("label").agg(F.sum(F.col("size").cast("long")).alias("size"), F.min(F.when(F.col("words"), F.col("size"))).alias("least")).collect()}
+    if len(want) == 2 and any(r["least"] is None for r in want.values()):
+        raise ValueError("the labelled texts of one kind have no words")
+    quota, fits = {}, F.lit(False)
+    for y, r in want.items():
+        least, half = r["least"] or 0, max(max_bytes // 2, max_bytes - sum(o["size"] for x, o in want.items() if x != y))
+        fits = fits | ((F.col("label") == y) & (F.col("size") <= max(half, least)))
+        quota[y] = max(0, half - least)  # room is kept for the smallest text with words
+    texts, kept = [], {y: r["least"] is None for y, r in want.items()}
+    for r in found.where(fits).orderBy("at", "id", "hash").toLocalIterator():
+        y = r["label"]
+        if not kept[y] and r["words"] and r["size"] == want[y]["least"]:
+            kept[y] = True
+        elif r["size"] <= quota[y]:
+            quota[y] -= r["size"]
+        else:
+            continue
+        texts.append((r["text"], y))
     model = train([t for t, _ in texts], np.array([y for _, y in texts], int))
     del texts
     tk.release()
