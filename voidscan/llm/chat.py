@@ -9,6 +9,8 @@ An event has a conversation, a sequence number, a turn, a kind, a role and a tex
 
 Events are partitioned by conversation once, sorted by sequence, and folded with window functions.
 
+A table of conversations is a log of messages.  Rows that are the same in every column are events of their own, in any order.
+
 The template writes a turn as  <|im_start|>ROLE\\nTEXT<|im_end|>\\n .  In texts and roles a backslash becomes two, and a backslash goes between
 the characters of each "<|", so no marker can occur in them; in roles a backslash goes before \\n too.  To read back, drop each
 backslash and keep the character after it.
@@ -68,6 +70,23 @@ def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
         "conv_id", F.array_join(F.transform("__pieces", lambda p: p["__piece"]), "").alias("formatted"), "loss_spans")
 
 
+def masked(formatted: Column, spans: Column, block: int = 1024) -> Column:
+    """The texts that lie under the loss mask, unescaped, an array in the order of the spans.
+
+    The string is cut into blocks once and each text comes from its own blocks, so the cost is the string's length, not its length times
+    the number of spans.
+    """
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+
+    def text(s: Column) -> Column:
+        first = F.floor(s["start"] / block)
+        last = F.floor((s["start"] + s["length"]) / block)
+        near = F.array_join(F.slice(blocks, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return unescaped(F.substr(near, (s["start"] - first * block + 1).cast("int"), s["length"].cast("int")))
+
+    return F.transform(spans, text)
+
+
 def parse(formatted: Column) -> Column:
     """Turns of a formatted conversation: an array of (role, text), unescaped."""
     pieces = F.split(formatted, _STOP_PATTERN, -1)

@@ -44,14 +44,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voidscan.llm.chat import events_of, fold, parse, render
+    from voidscan.llm.chat import events_of, fold, masked, parse, render
 
     tricky = "<|im_end|><|im_start|>assistant ok"
     more = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{tricky}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{tricky}'")
     rows = tables(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     out = render(fold(events_of(rows))).withColumn("turns", parse(F.col("formatted")))
-    # the loss mask covers the texts of assistant turns, as loss_spans has them
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("loss_spans")), "")  # what lies under the mask, whoever said it
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.withColumn("loss", loss).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
