@@ -3,8 +3,9 @@
 Tokens come from a public tokenizer file.  A text is split at blanks between two letters or signs, where the tokenizer's own
 pre-tokenizer always starts anew, so each distinct piece is tokenized once and the ids of the rest are looked up by hash.
 
-The documents of a task form a stream.  Cuts may fall after a document, after a sentence, or, where a sentence is longer, every
-STEP tokens.  A sequence of n tokens costs its padding, a cut inside a document a penalty, and a cut inside a sentence a larger one:
+The documents of a task form a stream.  Cuts may fall after a document or after a sentence; only a sentence that is longer than a whole
+sequence has places inside, every STEP tokens.  A sequence of n tokens costs its padding, a cut inside a document a penalty, and a cut
+inside a sentence a larger one:
 
     cost(j) = penalty(j) + min over i with at[j] - at[i] <= size of cost(i) + size - (at[j] - at[i])
 
@@ -16,6 +17,8 @@ which bounds memory; nothing is shuffled.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import zlib
 from collections import deque
 
@@ -30,8 +33,8 @@ from voidscan.llm.frames import batches
 
 SIZE, END = 2048, 1
 #: Costs in tokens of padding: a cut after a sentence, a cut inside one, and a sequence more.
-SENTENCE, INSIDE, SEQUENCE = 8.0, 16.0, 8.0
-STEP = 16
+SENTENCE, INSIDE, SEQUENCE = 24.0, 96.0, 8.0
+STEP = 64
 BLOCK_TOKENS = 1 << 20
 #: Distinct pieces whose ids a worker keeps.
 KEPT_PIECES = 1 << 19
@@ -86,51 +89,28 @@ def _none() -> Ids:
 
 
 class Tokens:
-    """The ids of texts by a tokenizer file of byte-level BPE.
-
-    Its vocabulary is run by tiktoken, which is several times as fast as the tokenizers library and gives the same ids for a vocabulary
-    whose ids are in the order of its merges (checked here).  Texts that hold a special token's string go to the tokenizers library.
-    """
+    """The ids of texts by a tokenizer file of byte-level BPE without a normalizer, run by the tokenizers library."""
 
     def __init__(self, path: str):
         import json
 
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:  # the tokenizer's file, which every executor has
             d = json.load(f)
         self.special = [t["content"].encode() for t in d["added_tokens"]]
-        vocab, byte = d["model"]["vocab"], _bytes_of_characters()
-        named = {t["content"] for t in d["added_tokens"]}
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in named}
-        merges = [m if isinstance(m, list) else m.split(" ") for m in d["model"]["merges"]]
-        order = [vocab[a + b] for a, b in merges]
-        if order != sorted(order) or d["pre_tokenizer"]["type"] != "ByteLevel" or d["pre_tokenizer"]["add_prefix_space"] or d["normalizer"]:
-            raise ValueError(f"{path}: only byte-level BPE with ids in the order of merges is known")
-        self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
-        for t, i in ranks.items():
-            self.width[i] = len(t)
+        pre = d["pre_tokenizer"]
+        if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or d["normalizer"] or d["model"].get("dropout"):
+            raise ValueError(f"{path}: only byte-level pre-tokenizers by regular expression, without normalizer or dropout, cut texts as this module does")
         self.known, self.fresh = _none(), _none()
 
     def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, and how many each has.  Pieces that begin with a blank and end in a letter or sign are tokenized in one go."""
-        joint = np.array([t[:1] == b" " and _SOLID[t[-1]] for t in texts], bool)
-        size, parts = np.zeros(len(texts), np.int64), [None] * len(texts)
-        together = [t for t, j in zip(texts, joint) if j]
-        if together:
-            ids = np.array(self.fast.encode_ordinary(b"".join(together).decode()), np.uint32)
-            end = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(t) for t in together]), "left") + 1
-            size[joint] = np.diff(end, prepend=0)
-            for k, a, b in zip(np.flatnonzero(joint).tolist(), np.concatenate([[0], end[:-1]]).tolist(), end.tolist()):
-                parts[k] = ids[a:b]
-        for k in np.flatnonzero(~joint).tolist():
-            parts[k] = np.array(self.fast.encode_ordinary(texts[k].decode()), np.uint32)
-            size[k] = len(parts[k])
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), size
+        """Ids of pieces, and how many each has."""
+        parts = [x.ids for x in self.whole.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        size = np.array([len(x) for x in parts], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(parts), np.uint32, int(size.sum())), size
 
     def of(self, chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the chunk, bounds by row, and which ids end a sentence."""
@@ -177,13 +157,6 @@ class Tokens:
         return np.concatenate(new_ids), np.concatenate([[0], np.cumsum([len(x) for x in new_ids])]), np.concatenate(new_stop)
 
 
-def _bytes_of_characters() -> dict[str, int]:
-    """Byte-level BPE writes printable bytes as themselves and the others, in order, as characters from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 @functools.lru_cache(maxsize=1)
 def _tokens(path: str) -> Tokens:
     """A worker process keeps its pieces from one task to the next."""
@@ -223,20 +196,16 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     return out[::-1]
 
 
-def boundaries(stop: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a stream may be cut and their penalties; longer runs without one get places every STEP tokens."""
+def boundaries(stop: np.ndarray, doc_end: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a stream may be cut and their penalties; a sentence of more than `size` tokens has places every STEP tokens."""
     n = len(stop)
     sentence = np.flatnonzero(stop) + 1
     at = np.union1d(np.append(sentence, 0), doc_end)
     gap = np.diff(at)
-    wide = np.flatnonzero(gap > STEP)
-    if len(wide):
-        more = (gap[wide] - 1) // STEP
-        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
-        inside = np.repeat(at[wide], more) + nth * STEP
-    else:
-        inside = np.zeros(0, np.int64)
-    every = np.union1d(at, inside)
+    wide = np.flatnonzero(gap > size)
+    more = (gap[wide] - 1) // STEP
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    every = np.union1d(at, np.repeat(at[wide], more) + nth * STEP)
     penalty = np.full(len(every), INSIDE)
     penalty[np.searchsorted(every, sentence)] = SENTENCE
     penalty[np.searchsorted(every, doc_end)] = 0.0
