@@ -345,9 +345,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Each label may take half of the bytes, and what the other leaves.  A text that doesn't fit is passed over, and those after it are
     read; a label whose texts with words are all too large has its smallest one, whole.  Texts of both labels of which one kind has
-    no word are an error.
+    no word are an error.  Null ids and labels other than 0 and 1 are passed over; an id that is labelled both ways is toxic.  Documents of
+    one id are examples each; a null text is one without words.  Without labelled documents the model rejects nothing.
     """
-    some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
+    some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = None
     for label in (0, 1):
         part = some.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(max_docs // 2)
