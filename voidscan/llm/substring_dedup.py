@@ -1,15 +1,15 @@
-"""Substring dedup: word windows that an earlier document holds, by FM-indexes over shards of repeated text.
+"""Substring dedup: word windows that an earlier document holds, by matching statistics over compressed FM-indexes.
 
 Indexing the whole corpus in every shard would compare all with all.  Instead:
 
 1. Anchors.  In every run of window - GRAM + 1 word grams the one of least hash is an anchor (winnowing), so two documents that
    share a window share an anchor at the same place of it.  Around each anchor lies its segment: the words of all windows
-   that hold the anchor, with a hash of them.
-2. Anchors of one document only are done with.  Where two documents have the very same segment, all of it repeats: no text moves.
-3. What is left are segments that share an anchor and differ: the edges of repeated passages.  Their words go to shards by
-   anchor.  A shard builds a compressed FM-index of its segments, streams them through backward search over the wavelet matrix and
-   reports the intervals of at least `window` words that a segment of a smaller id holds.
-4. An anchor of very many different segments is split over several shards; windows that none of its shard settles meet again by
+   that hold the anchor, with a hash of them.  Anchors of one document only are done with.
+2. Segments of shared anchors go to shards by anchor; of documents with the very same segment the smallest id sends its words, once.
+   A shard builds a compressed FM-index of its segments.  Each segment is streamed through it by backward search, against
+   the segments of smaller ids than its holder's, and, if other documents hold it too, against those up to the holder's.  Its matching
+   statistics give the intervals of at least `window` words that an earlier document holds; nothing else removes a word.
+3. An anchor of very many different segments is split over several shards; windows that none of its shards settles meet again by
    their hash, of which only the smallest id is kept before they shuffle.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voidscan.llm import textkit as tk
-from voidscan.llm.fm_index import FMIndex, shared_windows
+from voidscan.llm.fm_index import FMIndex
 from voidscan.llm.frames import batches, id_of, own, schema_of, written
 
 GRAM = 20
@@ -86,7 +86,7 @@ def segment_words(it):
         ids, keys = np.asarray(tk.column(batch, "id")), np.asarray(tk.column(batch, "rk"))
         first = np.asarray(asked.offsets)
         item = asked.values
-        lo, hi, shard, anchor, seg = (np.asarray(item.field(n)) for n in ("lo", "hi", "shard", "anchor", "seg"))
+        lo, hi, shard, anchor, seg, alone, more = (np.asarray(item.field(n)) for n in ("lo", "hi", "shard", "anchor", "seg", "alone", "more"))
         for chunk in tk.chunks(tk.column(batch, "text")):
             w = tk.words(chunk)
             a, b = first[chunk.lo], first[chunk.hi]
@@ -94,12 +94,16 @@ def segment_words(it):
             base = w.first[row]
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array(shard[a:b]), "anchor": pa.array(anchor[a:b]), "seg": pa.array(seg[a:b]), "id": pa.array(ids[row + chunk.lo]),
+                "alone": pa.array(alone[a:b]), "more": pa.array(more[a:b]),
                 "words": pa.array([w.hash[x:y].tobytes() for x, y in zip(base + lo[a:b], base + hi[a:b])], pa.binary()),
             })
 
 
 def matched(window: int):
-    """For a shard: intervals (a, b) of a segment that smaller ids hold; b = -1: the window at a, of hash `anchor`, is open."""
+    """For a shard: intervals (a, b) of a segment that smaller ids hold; b = -1: the window at a, of hash `anchor`, is open.
+
+    later: the interval counts for all documents with the segment but the holder; else for the holder.
+    """
 
     def run(_, t):
         t = t.combine_chunks()
@@ -107,25 +111,28 @@ def matched(window: int):
         raw = t.column("words").combine_chunks()
         data = np.frombuffer(raw.buffers()[2], np.uint64, count=int(offsets[-1]) // 8) if len(t) else np.zeros(0, np.uint64)
         first = offsets // 8
-        ids = np.asarray(t.column("id"))
+        ids, anchor, seg = (np.asarray(t.column(n)) for n in ("id", "anchor", "seg"))
+        alone, more = (np.asarray(t.column(n)) for n in ("alone", "more"))
         rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
         index = FMIndex(data, first, rank, 2 * window)
-        piece = np.arange(len(ids))
-        p, a, b = shared_windows(index, piece, np.diff(first), rank, window)
-        anchor, seg = np.asarray(t.column("anchor")), np.asarray(t.column("seg"))
-        out = [(anchor[p], seg[p], ids[p], a, b)]
+        own_, others = np.flatnonzero(~alone), np.flatnonzero(more)
+        asked, later = np.concatenate([own_, others]), np.repeat([False, True], [len(own_), len(others)])
+        q, a, b = index.matches(asked, np.diff(first)[asked], rank[asked] + later, window)
+        p = asked[q]
+        out = [(anchor[p], seg[p], ids[p], a, b, later[q])]
         if len(ids) and t.column("shard")[0].as_py() < 0:  # one of several shards of an anchor
             many = np.maximum(np.diff(first) - window + 1, 0)
-            row = np.repeat(piece, many)
-            start = np.arange(many.sum()) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-            settled = np.zeros(len(row), bool)
+            row = np.repeat(np.arange(len(ids)), many)
             where = np.concatenate([[0], np.cumsum(many)])
-            for q, x, y in zip(p, a, b):
-                settled[where[q] + x: where[q] + y - window + 1] = True
+            start = np.arange(where[-1]) - where[row]
+            settled = np.zeros(len(row), bool)
+            for s, x, y in zip(p[~later[q]], a[~later[q]], b[~later[q]]):
+                settled[where[s] + x: where[s] + y - window + 1] = True
             row, start = row[~settled], start[~settled]
             h = tk.Spans(data).hash(first[row] + start, first[row] + start + window)
-            out.append((h.view(np.int64), seg[row], ids[row], start, np.full(len(row), -1)))
-        return pa.table({n: pa.array(np.concatenate(x).astype(np.int64)) for n, x in zip(("anchor", "seg", "id", "a", "b"), zip(*out))})
+            out.append((h.view(np.int64), seg[row], ids[row], start, np.full(len(row), -1), np.zeros(len(row), bool)))
+        columns = [np.concatenate(x) for x in zip(*out)]
+        return pa.table({n: pa.array(c if n == "later" else c.astype(np.int64)) for n, c in zip(("anchor", "seg", "id", "a", "b", "later"), columns)})
 
     return run
 
@@ -138,29 +145,31 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     # as a table: both sides of the join then come from a shuffle of their own, and Spark can split a hot anchor's partition
     common = written(found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor"))
     occ = written(found.join(common, "anchor"))
-    segs = written(occ.groupBy("anchor", "seg").agg(F.min("id").alias("holder")))
+    segs = written(occ.groupBy("anchor", "seg").agg(F.min("id").alias("holder"), F.max("id").alias("last")))
     kinds = written(segs.groupBy("anchor").agg(F.count("*").alias("kinds")))
     occ = written(occ.join(segs.join(kinds, "anchor"), ["anchor", "seg"]))
-    whole = occ.where("id > holder").select("id", "rk", "lo", "hi")
 
-    asked = occ.where("id = holder and kinds > 1").select("anchor", "seg", "id", "rk", "lo", "hi", "kinds").dropDuplicates(["anchor", "seg"])
-    n = asked.count()
+    asked = occ.where("id = holder").dropDuplicates(["anchor", "seg"])
+    n = segs.count()
     shards = 1 + max(n // SHARD, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (SHARD // 4)))
     parts = F.ceil(F.col("kinds") / SPLIT)
     shard = F.when(F.col("kinds") <= SPLIT, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(
         -1 - F.pmod(F.xxhash64(F.col("anchor"), F.pmod(F.col("seg"), parts)), F.lit(1 << 40)))
-    wanted = asked.groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "hi", shard.alias("shard"), "anchor", "seg")).alias("asked"))
+    item = F.struct("lo", "hi", shard.alias("shard"), "anchor", "seg", (F.col("kinds") == 1).alias("alone"), (F.col("last") > F.col("holder")).alias("more"))
+    wanted = asked.groupBy("id", "rk").agg(F.collect_list(item).alias("asked"))
     words = keyed.join(wanted, ["id", "rk"]).select("id", "rk", "asked", "text")
-    sent = words.mapInArrow(segment_words, "shard long, anchor long, seg long, id long, words binary")
+    sent = words.mapInArrow(segment_words, "shard long, anchor long, seg long, id long, alone boolean, more boolean, words binary")
     run = matched(window)
-    hits = written(sent.groupBy("shard").applyInArrow(lambda key, t: run(key, t), "anchor long, seg long, id long, a long, b long"))
+    hits = written(sent.groupBy("shard").applyInArrow(lambda key, t: run(key, t), "anchor long, seg long, id long, a long, b long, later boolean"))
     open_ = hits.where("b < 0").withColumnRenamed("anchor", "h")
     settled = open_.join(open_.groupBy("h").agg(F.min("id").alias("holder")), "h").where("id > holder")
-    inner = hits.where("b >= 0").select("seg", "id", "a", "b").unionByName(settled.select("seg", "id", "a", (F.col("a") + window).alias("b")))
-    # a document may hold a segment more than once: the anchor is part of the segment's hash
-    edges = occ.where("id = holder and kinds > 1").join(inner, ["seg", "id"]).select("id", "rk", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
-    every = whole.unionByName(edges.select("id", "rk", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi")))
-    return every.groupBy("id", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
+    # the anchor is part of a segment's hash
+    inner = hits.where("b >= 0").select("seg", "later", "a", "b").unionByName(settled.select("seg", "later", "a", (F.col("a") + window).alias("b")))
+    spans = inner.groupBy("seg", "later").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # a document may hold a segment more than once
+    held = occ.select("seg", (F.col("id") > F.col("holder")).alias("later"), "id", "rk", "lo").join(spans, ["seg", "later"])
+    cut = F.transform("spans", lambda s: F.struct((F.col("lo") + s["a"]).cast("int").alias("lo"), (F.col("lo") + s["b"]).cast("int").alias("hi")))
+    return held.select("id", "rk", cut.alias("cut")).groupBy("id", "rk").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
