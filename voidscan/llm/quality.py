@@ -1,20 +1,27 @@
 """Quality rules: counts of a text, fixed limits, and robust multivariate outliers by language and source.
 
-Every text becomes a vector of transformed statistics.  For each language and source the minimum-covariance-determinant estimate is
-found by concentration steps over all rows: from a start at medians and quartiles, the `share` of rows nearest by Mahalanobis distance
-give the next mean and covariance.  Each step is a few sums and a mergeable quantile per group, so a group that holds a third of all
-rows is summed up in parts, and no group is gathered anywhere.  Rows beyond a chi-square quantile of the final distance are rejected.
-
-Groups of fewer than `least` rows are pooled by language; a pool that is still smaller rejects nothing.
+Every text becomes a vector of transformed statistics.  For each language and source the minimum-covariance-determinant estimate is the mean and
+covariance of the `share` of rows whose covariance has the least determinant, sought from several starts:
+
+1. From `sample` rows of each group, by hash, many random starts are concentrated in memory, and the `starts` best ones go on.
+2. Each is concentrated over all rows of the group: the nearest `share` of rows by Mahalanobis distance give the next mean and covariance, until no
+   determinant falls any more.  A step is a mergeable quantile and a few sums per group, so a group that holds a third of all rows is
+   summed up in parts, and no group is gathered anywhere.
+3. The start of the least determinant over all rows is the group's estimate.
+
+A group's estimate is drawn towards the medians and quartiles of its language, and those towards the ones of all rows, each with the weight of `prior` rows;
+so a group of three rows has a verdict as a group of a billion has, and no size switches the rule.  Rows beyond a chi-square quantile of the distance
+are rejected.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +31,8 @@ from voidscan.llm.line_dedup import lines
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = 5
-#: Least standard deviations of the transformed statistics: tight groups don't reject ordinary spread.  A wider group keeps its own.  Each is
-#: small enough that its statistic alone can pass the limit: shares of equal lines and repeated words do from some 37 % on in a group without any.
+#: Units of the transformed statistics: no direction has a variance below 1 in them, so tight groups don't reject ordinary spread.  Each is small
+#: enough that its statistic alone can pass the limit: shares of equal lines and repeated words do from some 37 % on in a group without any.
 FLOOR = (0.5, 0.12, 0.6, 0.8, 0.8)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -94,7 +101,7 @@ def chi_square(p: float, dim: int) -> float:
         return total * math.exp(-t + a * math.log(t) - math.lgamma(a))
 
     lo, hi = 1e-9, 200.0
-    for _ in range(200):
+    for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
     return hi
@@ -104,37 +111,98 @@ def consistency(share: float, dim: int) -> float:
     """Factor that makes the covariance of the nearest `share` of normal rows that of all."""
     q = chi_square(share, dim)
     lo, hi = 0.0, 1.0
-    for _ in range(100):  # P(chi-square of dim + 2 <= q), by its inverse
+    for _ in range(50):  # P(chi-square of dim + 2 <= q), by its inverse
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if chi_square(mid, dim + 2) < q else (lo, mid)
     return share / hi
 
 
-def _inverted(factor: float):
-    """From sums of a group to its mean and inverse covariance, with no variance below its floor."""
+_PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+_NAMES = [*[f"m{i}" for i in range(DIM)], *[f"p{i}{j}" for i, j in _PAIRS]]
+_MODEL = "group string, start int, n long, logdet double, " + ", ".join(f"{n} double" for n in _NAMES)
+
+
+def floored(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Covariances, and logarithms of their determinants, with no variance below 1 in any direction in units of FLOOR."""
+    unit = np.array(FLOOR)
+    value, vector_ = np.linalg.eigh(cov / unit / unit[:, None])
+    value = np.maximum(value, 1.0)
+    return (vector_ * value[..., None, :]) @ np.swapaxes(vector_, -1, -2) * unit * unit[:, None], np.log(value).sum(-1)
+
+
+def concentrated(x: np.ndarray, share: float, factor: float, models: tuple, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Concentration steps over rows in memory, of several models (mean, inverse, logdet) at once, until no determinant falls."""
+    h = max(1, math.ceil(share * len(x)))
+    products = np.stack([x[:, i] * x[:, j] for i, j in _PAIRS], 1)
+    mean, inverse, logdet = models
+    for _ in range(most):
+        c = x - mean[:, None]
+        d = ((c @ inverse) * c).sum(2)
+        near = (d <= np.partition(d, h - 1, axis=1)[:, h - 1: h]).astype(float)
+        new = _of_sums(near.sum(1), near @ x, near @ products, factor)
+        falls = new[2] < logdet - 1e-12
+        mean, inverse, logdet = (np.where(falls.reshape(-1, *[1] * (a.ndim - 1)), a, b) for a, b in zip(new, (mean, inverse, logdet)))
+        if not falls.any():
+            break
+    return mean, inverse, logdet
+
+
+def _of_sums(n: np.ndarray, s: np.ndarray, products: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, inverse covariances and log-determinants of some sets of rows, from their numbers and sums."""
+    mean = s / n[:, None]
+    second = np.zeros((len(n), DIM, DIM))
+    for k, (i, j) in enumerate(_PAIRS):
+        second[:, i, j] = second[:, j, i] = products[:, k] / n
+    cov, logdet = floored((second - mean[:, :, None] * mean[:, None, :]) * factor)
+    return mean, np.linalg.inv(cov), logdet
+
+
+def searched(x: np.ndarray, share: float, factor: float, starts: int, draws: int, seed: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The `starts` best estimates of rows in memory, from medians and quartiles and from `draws` random sets of DIM + 1 rows."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    mean, inverse = mid[None], np.diag(1 / np.maximum(((high - low) / 1.349) ** 2, np.square(FLOOR)))[None]
+    if len(x) > DIM + 1:
+        sets = x[np.argsort(rng.random((draws, len(x))), axis=1)[:, : DIM + 1]]
+        drawn_ = _of_sums(np.full(draws, DIM + 1.0), sets.sum(1), np.stack([(sets[:, :, i] * sets[:, :, j]).sum(1) for i, j in _PAIRS], 1), factor)
+        mean, inverse = np.concatenate([mean, drawn_[0]]), np.concatenate([inverse, drawn_[1]])
+    short = concentrated(x, share, factor, (mean, inverse, np.full(len(mean), np.inf)), 2)
+    few = np.argsort(short[2], kind="stable")[:10]
+    mean, inverse, logdet = concentrated(x, share, factor, tuple(m[few] for m in short), 200)
+    order = np.argsort(logdet, kind="stable")
+    return [(mean[k], inverse[k], float(logdet[k])) for i, k in enumerate(order) if i == 0 or logdet[k] > logdet[order[i - 1]] + 1e-9][:starts]
+
+
+def _table(group: list, start: list, n: list, models: list) -> pa.RecordBatch:
+    cell = lambda k: pa.array(np.array(k, np.float64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group, pa.string()), pa.array(start, pa.int32()), pa.array(n, pa.int64()), cell([m[2] for m in models]), *[cell([m[0][i] for m in models]) for i in range(DIM)],
+         *[cell([m[1][i, j] for m in models]) for i, j in _PAIRS]], names=["group", "start", "n", "logdet", *_NAMES])
+
+
+def _matrix(t, prefix: str) -> np.ndarray:
+    out = np.zeros((t.num_rows, DIM, DIM))
+    for i, j in _PAIRS:
+        out[:, i, j] = out[:, j, i] = np.asarray(t.column(f"{prefix}{i}{j}"))
+    return out
+
+
+def _vector(t, prefix: str) -> np.ndarray:
+    return np.stack([np.asarray(t.column(f"{prefix}{i}")) for i in range(DIM)], 1).reshape(-1, DIM)
+
+
+def _stepped(factor: float):
+    """From sums of a group and a start to its next estimate."""
 
     def rows(it):
         for t in it:
-            n = np.asarray(t.column("n")).astype(float)
-            s = np.stack([np.asarray(t.column(f"s{i}")) for i in range(DIM)], 1).reshape(-1, DIM)
-            mean = s / n[:, None]
-            cov = np.zeros((len(n), DIM, DIM))
-            for i in range(DIM):
-                for j in range(i, DIM):
-                    cov[:, i, j] = cov[:, j, i] = np.asarray(t.column(f"s{i}{j}")) / n - mean[:, i] * mean[:, j]
-            cov *= factor
-            at = np.arange(DIM)
-            cov[:, at, at] = np.maximum(cov[:, at, at], np.square(FLOOR))
-            inverse = np.linalg.inv(cov + np.diag(1e-4 * np.square(FLOOR)))  # invertible whatever the correlations
-            yield pa.RecordBatch.from_arrays([t.column(0), *[pa.array(mean[:, i]) for i in range(DIM)], *[pa.array(inverse[:, i, j]) for i in range(DIM) for j in range(i, DIM)]],
-                                             names=["group", *[f"m{i}" for i in range(DIM)], *[f"p{i}{j}" for i in range(DIM) for j in range(i, DIM)]])
+            sums = np.stack([np.asarray(t.column(f"s{i}{j}")) for i, j in _PAIRS], 1).reshape(-1, len(_PAIRS))
+            found = _of_sums(np.asarray(t.column("n")).astype(float), _vector(t, "s"), sums, factor)
+            yield _table(t.column("group").to_pylist(), t.column("start").to_pylist(), t.column("n").to_pylist(), list(zip(*found)))
 
     return rows
 
 
-_MODEL = "group string, " + ", ".join([f"m{i} double" for i in range(DIM)] + [f"p{i}{j} double" for i in range(DIM) for j in range(i, DIM)])
-
-
 def distance() -> Column:
     total = None
     for i in range(DIM):
@@ -144,49 +212,91 @@ def distance() -> Column:
     return total
 
 
-def bounded(groups: DataFrame, most: int = 20_000) -> DataFrame:
-    """A table with a row for each group, to be broadcast if it has `most` rows at most (some 5 MB), which is counted; else joined as Spark sees
-    fit.  Without a shuffle of the rows a hot group stays spread over tasks, and what follows sums it up in parts."""
-    return F.broadcast(groups) if groups.count() <= most else groups
+def bounded(groups: DataFrame, rows: int, most: int = 20_000) -> DataFrame:
+    """A table of `rows` rows about groups, to be broadcast if these are `most` at most (some 5 MB); else joined as Spark sees fit.  Without a
+    shuffle of the data a hot group stays spread over tasks, and what follows sums it up in parts."""
+    return F.broadcast(groups) if rows <= most else groups
 
 
-def concentrated(rows: DataFrame, share: float, steps: int) -> DataFrame:
-    """(group, mean, inverse covariance) by concentration steps over rows (group, x0..x4)."""
-    quartiles = rows.groupBy("group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)])
-    model = written(quartiles.select("group", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)], *[
-        (1 / F.greatest(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2, F.lit(FLOOR[i] ** 2)) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)]))
-    factor = consistency(share, DIM)
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """`most` rows of each group, the first by hash; each task sends `most` of a group at most."""
+    order = Window.partitionBy("group").orderBy("at", *[f"x{i}" for i in range(DIM)])
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def covariance_estimates(rows: DataFrame, share: float, sample: int, starts: int, steps: int) -> DataFrame:
+    """(group, n, mean, inverse covariance): the minimum covariance determinant of rows (group, at, x0..x4) by group."""
+    x, factor = [f"x{i}" for i in range(DIM)], consistency(share, DIM)
+
+    def begin(key, t):
+        found = searched(_vector(t, "x"), share, factor, starts, 50, zlib.crc32(key[0].as_py().encode()))
+        return pa.Table.from_batches([_table([key[0].as_py()] * len(found), list(range(len(found))), [t.num_rows] * len(found), found)])
+
+    model = written(sampled(rows, sample).select("group", *x).groupBy("group").applyInArrow(begin, _MODEL).withColumn("logdet", F.lit(math.inf)))
+    step, many = _stepped(factor), model.count()
     for _ in range(steps):
-        near = rows.join(bounded(model), "group").withColumn("d", distance())
-        bound = written(near.groupBy("group").agg(F.percentile_approx("d", share, 5000).alias("bound")))
-        sums = near.join(bounded(bound), "group").where("d <= bound").groupBy("group").agg(
-            F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(DIM) for j in range(i, DIM)])
-        model = written(sums.mapInArrow(_inverted(factor), _MODEL))
-    return model
+        near = rows.select("group", *x).join(bounded(model.drop("n", "logdet"), many), "group").select("group", "start", *x, distance().alias("d"))
+        bound = written(near.groupBy("group", "start").agg(F.percentile_approx("d", share, 5000).alias("bound")))
+        sums = near.join(bounded(bound, many), ["group", "start"]).where("d <= bound").groupBy("group", "start").agg(
+            F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS])
+        new = written(sums.mapInArrow(step, _MODEL))
+        falls = new.select("group", "start", "logdet").join(model.select("group", "start", F.col("logdet").alias("before")), ["group", "start"]).where(F.col("before") - F.col("logdet") > 1e-6)
+        model = new
+        if falls.isEmpty():
+            break
+    best = model.groupBy("group").agg(F.min_by(F.struct(*_NAMES), F.struct("logdet", "start")).alias("best"))
+    return best.join(rows.groupBy("group").agg(F.count("*").alias("n")), "group").select("group", "n", "best.*")
+
+
+def centres(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n, q0..q4): rows and quartiles of each statistic."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)])
+
+
+def drawn(model: DataFrame, rows: DataFrame, prior: float) -> DataFrame:
+    """(group, mean, inverse covariance): estimates drawn towards the language's centre, and that towards the centre of all rows."""
+    flat = lambda t, by: t.select(*by, F.col("n").alias("n" + t_), *[F.col(f"q{i}")[1].alias(f"{t_}m{i}") for i in range(DIM)], *[
+        F.greatest(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2, F.lit(FLOOR[i] ** 2)).alias(f"{t_}v{i}") for i in range(DIM)])
+    t_ = "a"
+    every = flat(centres(rows), ())  # one row
+    t_ = "b"
+    langs = flat(centres(rows, "pool"), ("pool",))
+    wide = model.join(rows.select("group", "pool").distinct(), "group").join(langs, "pool").join(F.broadcast(every))
+
+    def run(it):
+        for t in it:
+            pull = lambda n: (np.asarray(t.column(n)) / (np.asarray(t.column(n)) + prior))[:, None]  # noqa: B023, E731
+            w = pull("nb")
+            centre, spread = w * _vector(t, "bm") + (1 - w) * _vector(t, "am"), w * _vector(t, "bv") + (1 - w) * _vector(t, "av")
+            w = pull("n")
+            mean = w * _vector(t, "m") + (1 - w) * centre
+            cov, logdet = floored(w[:, :, None] * np.linalg.inv(_matrix(t, "p")) + (1 - w)[:, :, None] * spread[:, :, None] * np.eye(DIM))
+            yield _table(t.column("group").to_pylist(), [0] * t.num_rows, t.column("n").to_pylist(), list(zip(mean, np.linalg.inv(cov), logdet)))
+
+    return wide.mapInArrow(run, _MODEL).select("group", *_NAMES)
 
 
-def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 4, beyond: float = 1e-3, least: int = 50, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, sample: int = 500, starts: int = 2, steps: int = 12, beyond: float = 1e-3, prior: float = 20.0, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """The rows of docs, without their text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance and kept.
 
     base_failed: fewer than `min_words` words, or more than `max_repeat_percent` % of them in 3-word windows that occur twice or more.
     kept: not base_failed, and the squared Mahalanobis distance within the chi-square quantile that normal rows exceed with probability
-    `beyond`.  distance is null where base_failed, or where no estimate exists.  A null or empty text has counts of 0 and fails.  Null
-    languages and sources are groups of their own.  Ids don't matter; repeated rows count and are returned each.  An empty table gives an
-    empty table.  Other columns pass through; columns with the names above are replaced.
+    `beyond`.  distance is null where base_failed.  A null or empty text has counts of 0 and fails.  Null languages and sources are groups of
+    their own.  Ids count only for the choice of the sample that the search starts from; repeated rows count and are returned each.  An
+    empty table gives an empty table.  Other columns pass through; columns with the names above are replaced.  A determinant that still
+    falls after `steps` steps is taken as it is.
     """
     batches(docs.sparkSession)
     docs = own(docs, *COUNTS, "base_failed", "distance", "kept")
     group = lambda *c: F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("null")) for x in c])
-    stats = written(statistics(docs, text_col).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
-                    .withColumns({"__own": group(lang_col, source_col), "__pool": group(lang_col)}))
-    some = stats.where("not base_failed")
-    sizes = written(some.groupBy("__own").agg(F.count("*").alias("__size")))
-    named = stats.join(bounded(sizes), "__own", "left").withColumn("group", F.when(F.col("__size") >= least, F.col("__own")).otherwise(F.col("__pool")))
-    named = named.withColumns({f"x{i}": x for i, x in enumerate(vector())})
-    rows = written(named.where("not base_failed").select("group", *[f"x{i}" for i in range(DIM)]))
-    enough = rows.groupBy("group").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("group")
-    model = concentrated(rows, share, steps).join(enough, "group", "left_semi")
-    out = named.join(bounded(written(model)), "group", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
-    limit = chi_square(1 - beyond, DIM)
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit))
-    return out.select(*[c for c in docs.columns if c != text_col], *COUNTS, "base_failed", "distance", "kept")
+    stats = statistics(docs, text_col)
+    plain = [c for c, t in stats.dtypes if not t.startswith("map")]
+    stats = stats.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
+    stats = written(stats.withColumns({"group": group(lang_col, source_col), "pool": group(lang_col), "__at": F.xxhash64(*plain)}))
+    named = stats.withColumns({f"x{i}": x for i, x in enumerate(vector())})
+    rows = written(named.where("not base_failed").select("group", "pool", F.col("__at").alias("at"), *[f"x{i}" for i in range(DIM)]))
+    model = drawn(covariance_estimates(rows, share, sample, starts, steps), rows, prior)
+    model = written(model)
+    out = named.join(bounded(model, model.count()), "group", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi_square(1 - beyond, DIM)))
+    return out.select(*[c for c in docs.columns if c != text_col], *COUNTS, "base_failed", "distance", F.coalesce("kept", F.lit(False)).alias("kept"))
