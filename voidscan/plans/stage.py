@@ -7,23 +7,65 @@ and executors share (spark.checkpoint.dir), and read again.  A lost executor cos
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the tables that this process wrote and has not deleted.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; under /tmp/checkpoints only where that is unset, as in tests."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder name under spark.checkpoint.dir.  Where that is unset, a temporary folder serves a local session; a cluster is an error."""
+    conf = spark.sparkContext.getConf()
+    top = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: tables between stages need a folder that driver and executors share")
+        top = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{top.rstrip('/')}/voidscan-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:
     """df, written and read again."""
     path = shared_dir(df.sparkSession)
+    _made.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, [t.staged_path])
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make() as a table; all tables that were staged on the way there are deleted."""
+    before = len(_made)
+    out = staged(make())
+    _delete(spark, [p for p in _made[before:] if p != out.staged_path])
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all staged tables of this process, once the results that read them are written."""
+    _delete(spark, list(_made))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        if path in _made:
+            _made.remove(path)
 
 
 def importable(spark: SparkSession) -> None:
