@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from voidscan.llm import textkit as tk
 from voidscan.llm.frames import back, batches, id_of, own, written
+from voidscan.plans.stage import release
 
 BANDS, ROWS = 32, 6
 #: Signature values that are compared before each look at the posterior.
@@ -251,7 +252,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small)
+        before_, edges = edges, written(small)
+        release(before_)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
