@@ -165,7 +165,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     settled = open_.join(open_.groupBy("h").agg(F.min("id").alias("holder")), "h").where("id > holder")
     # the anchor is part of a segment's hash
     inner = hits.where("b >= 0").select("seg", "later", "a", "b").unionByName(settled.select("seg", "later", "a", (F.col("a") + window).alias("b")))
-    spans = inner.groupBy("seg", "later").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # as a table: a passage that very many documents hold can then be split on the side of the documents
+    spans = written(inner.groupBy("seg", "later").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     # a document may hold a segment more than once
     held = occ.select("seg", (F.col("id") > F.col("holder")).alias("later"), "id", "rk", "lo").join(spans, ["seg", "later"])
     cut = F.transform("spans", lambda s: F.struct((F.col("lo") + s["a"]).cast("int").alias("lo"), (F.col("lo") + s["b"]).cast("int").alias("hi")))
