@@ -163,8 +163,8 @@ def test_other_segments(spark):
     assert sum(r["n"] for r in merged) == sum(r["n"] for r in best) == len(v)
     cost = lambda rows, more: sum(segments.run_cost(r["n"], r["max_k"] - r["min_k"] + more, 8) for r in rows)
     assert cost(best, 0) <= cost(merged, 0) + len(best) and cost(merged, 1) <= cost(got, 1)
-    with pytest.raises(ValueError):
-        segments.optimal_segments(k, 8, most=10)
+    passes = segments.merged_segments(spread, 8, most=0).collect()
+    assert sorted(map(tuple, passes)) == sorted(map(tuple, merged))
     gaps = segments.gap_segments(k).collect()
     assert any(r["min_k"] == 9000 and r["max_k"] == 9099 for r in gaps)
     left, inside = segments.leftovers(k, segments.gap_segments(k)), segments.assigned(k, segments.gap_segments(k))
@@ -176,6 +176,60 @@ def test_other_segments(spark):
         segments.uses_trunc("nothing", facts, 8, 4)
 
 
+def _pairs(spark, rows):
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "qid long, a long, b long")
+
+
+FILTERS = [lambda k: approx.trunc(k, 20), lambda k: approx.soda(k, 30, 40), lambda k: approx.adaptive(k, 30, 40), lambda k: approx.adaptive(k, 30, 40, t=3), lambda k: composite.hybrid(k, 40, k=20),
+           lambda k: composite.hybrid_scan(k, 40, k=20, min_size=3, radius=50, min_points=2), lambda k: composite.hybrid(k, 40, bits_per_key=16), lambda k: composite.greedy_scan(k, 40, k=20), lambda k: composite.dp_scan(k, 40, k=20)]
+
+
+def _asked_of(f, q):
+    return composite.answer(f, q) if isinstance(f, composite.Composite) else approx.answer(f, q)
+
+
+def test_empty_key_sets(spark):
+    none = spark.createDataFrame([(None,)], "k long")
+    q = _pairs(spark, [(1, 5), (-(2**63), 2**63 - 1), (4, 3)])
+    for make in [*FILTERS, lambda k: composite.hybrid(k, 40), lambda k: composite.hybrid_scan(k, 40), lambda k: composite.greedy_scan(k, 40), lambda k: composite.dp_scan(k, 40)]:
+        assert all(r["is_empty"] for r in _asked_of(make(none), q).collect())
+    f, knots = approx.cdf(none, 40, 0.05)
+    assert all(r["is_empty"] for r in approx.answer(f, q, knots=knots).collect())
+    assert sizes.trunc_bits(0, 0.01) == 1 and sizes.soda_bits(0, 10, 0.01) == sizes.adaptive_bits(0, 10, 0.01) == 0 == sizes.hybrid_bits(0, 10, 0.01)
+
+
+def test_keys_over_the_whole_range(spark):
+    v = [-(2**63), -(2**63) + 1, -(2**62), -5, 0, 7, 8, 9, 2**62, 2**63 - 1000, 2**63 - 500, 2**63 - 1]
+    k = spark.createDataFrame([(x,) for x in v], "k long")
+    asked = [(x, x) for x in v] + [(max(x - 1, -(2**63)), x) for x in v] + [(x, min(x + 1, 2**63 - 1)) for x in v] + [(-(2**63), 2**63 - 1), (100, 10**6), (2**61, 2**61 + 5), (-(2**61), -(2**60))]
+    q = _pairs(spark, asked)
+    f, knots = approx.cdf(k, 40, 0.05, step=2)
+    for out in [_asked_of(make(k), q) for make in FILTERS] + [approx.answer(f, q, knots=knots)]:
+        for r in out.collect():
+            assert not (r["is_empty"] and any(r["a"] <= x <= r["b"] for x in v)), r
+
+
+def test_equal_values_count_once_in_order_statistics(spark):
+    v = [5] * 700 + list(range(100)) + [None]
+    df = spark.createDataFrame([(x,) for x in v], "v long")
+    s = sorted(x for x in v if x is not None)
+    assert [order.kth_smallest(df, "v", i) for i in (0, 5, 300, 704, 705, 799)] == [s[i] for i in (0, 5, 300, 704, 705, 799)]
+    assert order.kth_smallest(df, "v", 800) is None and order.kth_smallest(df, "v", -1) is None
+    assert order.slices(df, 10) == 1 and order.slices(df, 100 * order.SLICE_ROWS) == 100
+
+
+def test_staged_tables_are_deleted(spark):
+    import os
+
+    from voidscan.plans import stage
+
+    a, n = stage.counted(spark.range(5))
+    out = stage.settled(spark, lambda: stage.staged(a).union(a))
+    assert n == 5 and out.count() == 10 and len([p for p in stage._made if os.path.exists(p)]) >= 2
+    stage.release(out)
+    assert not os.path.exists(out.staged_path) and os.path.exists(a.staged_path)
+
+
 def test_order(spark, keys):
     rows = {r["k"]: r["rank"] for r in order.rank_of(keys, keys.distinct()).collect()}
     assert rows == {int(k): i for i, k in enumerate(KEYS)} | {None: -1}
@@ -214,6 +268,8 @@ def test_bit_strings(spark):
         assert r["before"] == (x if "1" not in x else bin(int(x, 2) - 1)[2:].zfill(n)) and r["trim"] == x.rstrip("0")
     assert [r["t"] for r in t.orderBy("s.bytes", "s.nbits").collect()] == sorted(texts)
     assert [r["t"] for r in t.where("length(t) < 4").orderBy(bits.trie_order("t")).collect()] == ["", "000", "0", "1", "111"]
+    cut = spark.createDataFrame([(bytearray(b"\xab\xcd"), 11), (bytearray(b"\xff"), 3), (bytearray(b""), 2)], "d binary, n int").select(bits.text_of(bits.from_bytes("d", "n")).alias("t")).collect()
+    assert [r["t"] for r in cut] == ["10101011110", "111", "00"]
     with pytest.raises(Exception, match="not a bit"):
         spark.createDataFrame([("012",)], "t string").select(bits.from_text("t")).collect()
     low = spark.createDataFrame([("Az",)], "t string").select(bits.text_of(bits.from_string_low_first("t")).alias("x"), bits.text_of(bits.from_string("t")).alias("y"), bits.text_lcp(F.lit("0101"), F.lit("0111")).alias("z")).first()

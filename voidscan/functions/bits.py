@@ -146,6 +146,26 @@ def hashed_with_seed(seed: int, *x: C) -> Column:
     return F.xxhash64(F.lit(seed), *[_c(v) for v in x])
 
 
+#: A prime, and odd numbers below it that the multipliers of the universal hash come from.
+_PRIME = 2**31 - 1
+
+
+def universal(x: C, i: int) -> Column:
+    """The i-th hash of a family for integers of 64 bits: a linear form of their three parts of 22, 21 and 21 bits, modulo 2**31 - 1.
+
+    Plain arithmetic, the same in any SQL engine, and two keys meet with probability 2**-31.
+    """
+    x, part = _c(x), lambda n: (i * 7919 + n * 104729 + 1) * 48271**3 % _PRIME
+    high, middle, low = F.shiftrightunsigned(x, 42), F.shiftrightunsigned(x, 21).bitwiseAND(F.lit(mask(21))), x.bitwiseAND(F.lit(mask(21)))
+    return (high * part(1) + middle * part(2) + low * part(3) + part(4)) % _PRIME
+
+
+def universal_sql(x: str, i: int) -> str:
+    """universal for x >= 0 in other engines' SQL."""
+    part = lambda n: (i * 7919 + n * 104729 + 1) * 48271**3 % _PRIME
+    return f"((({x}) >> 42) * {part(1)} + ((({x}) >> 21) & {mask(21)}) * {part(2)} + (({x}) & {mask(21)}) * {part(3)} + {part(4)}) % {_PRIME}"
+
+
 def pretty(x: C, w: int) -> Column:
     """Text of 0 and 1."""
     return F.lpad(F.bin(_c(x)), w, "0") if w else F.lit("")
@@ -194,6 +214,13 @@ def from_text(t: C) -> Column:
     return F.struct(ok.alias("bytes"), n.alias("nbits"))
 
 
+def from_bytes(data: C, n: C | int) -> Column:
+    """Bit string of the first n bits of some bytes; what lies beyond them is zeroed, missing bytes are zeros."""
+    data, n = _c(data), _c(n)
+    text = F.array_join(F.transform(F.split(F.hex(data), ""), lambda d: F.when(d == "", "").otherwise(F.lpad(F.conv(d, 16, 2), 4, "0"))), "")
+    return from_text(F.rpad(F.substr(text, F.lit(1), n), n, F.lit("0")))
+
+
 def text_of(x: C) -> Column:
     """Text of 0 and 1 of a bit string."""
     x = _c(x)

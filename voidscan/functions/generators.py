@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voidscan.functions.bits import universal
+
 
 def unit(*parts: Column) -> Column:
     """A number in [0, 1) that depends on nothing but its parts."""
@@ -92,7 +94,7 @@ def property_queries(keys: DataFrame, key: str = "k", reach: int = 50) -> DataFr
     from voidscan.operators.order import ranked
 
     r = ranked(keys.select(key).distinct(), key)
-    far = r.select((F.col("rank") - F.pmod(F.xxhash64("rank"), F.lit(reach)) - 1).alias("rank"), F.col(key).alias("b")).join(r.select("rank", F.col(key).alias("a")), "rank").select(F.lit("span").alias("kind"), "a", "b")
+    far = r.select((F.col("rank") - universal("rank", 0) % reach - 1).alias("rank"), F.col(key).alias("b")).join(r.select("rank", F.col(key).alias("a")), "rank").select(F.lit("span").alias("kind"), "a", "b")
     one = lambda kind, a, b: r.select(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
     k = F.col(key)
     whole = keys.agg(F.min(key).alias("a"), F.max(key).alias("b")).select(F.lit("whole").alias("kind"), "a", "b")

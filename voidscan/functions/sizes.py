@@ -11,7 +11,9 @@ WIDTHS = (8, 16, 32, 64)
 
 
 def ceil_log2(x: float) -> int:
-    """Least k with 2**k >= x."""
+    """Least k >= 0 with 2**k >= x."""
+    if x <= 1:
+        return 0
     k = math.ceil(math.log2(x))
     while k > 0 and 2.0 ** (k - 1) >= x:
         k -= 1

@@ -13,14 +13,17 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voidscan.functions.bits import bitlen, mask
+from voidscan.functions.bits import bitlen, mask, universal
 from voidscan.functions.sizes import bloom_shape, exact_bits, point_rate
 from voidscan.operators.exact import is_empty
 
 
 @dataclass
 class Filter:
-    """A filter of one key set: its distinct fingerprints and what maps a query."""
+    """A filter of one key set: its distinct fingerprints and what maps a query.
+
+    half: keys and query bounds lose that many low bits first, so that differences of the widest keys stay in a BIGINT; lo and hi are such.
+    """
 
     kind: str
     fp: DataFrame
@@ -31,6 +34,7 @@ class Filter:
     shift: int = 0
     a: int = 1
     b: int = 0
+    half: int = 0
 
     def size_bits(self) -> int:
         """Size model: an exact index of the distinct fingerprints."""
@@ -43,6 +47,14 @@ def bounds(keys: DataFrame, key: str = "k") -> tuple[int, int | None, int | None
     return r[0], r[1], r[2]
 
 
+def halved(keys: DataFrame, key: str = "k") -> tuple[DataFrame, int, int | None, int | None, int]:
+    """(keys, rows, least, greatest, half): not-null keys, without their last bit (half = 1) if their spread needs 64 bits."""
+    n, lo, hi = bounds(keys, key)
+    half = int(bool(n) and hi - lo >= 2**63)
+    some = keys.where(F.col(key).isNotNull()).select(F.shiftright(F.col(key).cast("long"), half).alias(key))
+    return some, n, lo >> half if n else None, hi >> half if n else None, half
+
+
 def default_hash(n: int, length: int) -> tuple[int, int]:
     """(a odd, b): constants of the pairwise hash, fixed for a size and a length."""
     x = (n * 0x9E3779B97F4A7C15 ^ length * 0xD1342543DE82EF95) & (2**62 - 1)
@@ -51,7 +63,7 @@ def default_hash(n: int, length: int) -> tuple[int, int]:
 
 def pairwise(block: Column, a: int, b: int, k: int) -> Column:
     """Top k bits of the 128-bit number a * block + b, exact while it stays below 10**38."""
-    wide = F.lit(Decimal(a)).cast("decimal(20,0)") * block.cast("decimal(18,0)") + F.lit(Decimal(b)).cast("decimal(20,0)")
+    wide = F.lit(Decimal(a)).cast("decimal(20,0)") * block.cast("decimal(19,0)") + F.lit(Decimal(b)).cast("decimal(20,0)")
     return F.call_function("div", wide.cast("decimal(38,0)"), F.lit(Decimal(2 ** (128 - k))).cast("decimal(38,0)")).cast("long") if k > 1 else F.lit(0).cast("long")
 
 
@@ -62,10 +74,9 @@ def soda_map(x: Column, k: int, a: int, b: int) -> Column:
 
 def trunc(keys: DataFrame, k: int, key: str = "k") -> Filter:
     """The first k bits below the top bit of the spread."""
-    n, lo, hi = bounds(keys, key)
+    some, n, lo, hi, half = halved(keys, key)
     shift = max(0, (hi - lo).bit_length() - k) if n else 0
-    fp = keys.where(F.col(key).isNotNull()).select(F.shiftright(F.col(key) - F.lit(lo or 0), shift).alias("fp")).distinct()
-    return Filter("trunc", fp, k, n, lo, hi, shift)
+    return Filter("trunc", some.select(F.shiftright(F.col(key) - F.lit(lo or 0), shift).alias("fp")).distinct(), k, n, lo, hi, shift, half=half)
 
 
 def soda(keys: DataFrame, k: int, length: int, key: str = "k", constants: tuple[int, int] | None = None) -> Filter:
@@ -76,16 +87,18 @@ def soda(keys: DataFrame, k: int, length: int, key: str = "k", constants: tuple[
     return Filter("soda", fp, k, n, 0, None, 0, a, b)
 
 
-def adaptive(keys: DataFrame, k: int, length: int, key: str = "k", constants: tuple[int, int] | None = None) -> Filter:
-    """Exact where the spread fits k bits, else the rotation of key - least."""
-    n, lo, hi = bounds(keys, key)
+def adaptive(keys: DataFrame, k: int, length: int, key: str = "k", constants: tuple[int, int] | None = None, t: int = 0) -> Filter:
+    """Exact where the spread fits k bits, else the rotation of key - least.  t: low bits that keys and query bounds lose first."""
+    some, n, lo, hi, half = halved(keys, key)
+    drop = max(t, half)
+    if drop > half:
+        some, lo, hi = some.select(F.shiftright(key, drop - half).alias(key)), lo >> (drop - half) if n else None, hi >> (drop - half) if n else None
     m = (hi - lo).bit_length() if n else 0
     x = F.col(key) - F.lit(lo or 0)
-    some = keys.where(F.col(key).isNotNull())
     if m <= k:
-        return Filter("exact", some.select(x.alias("fp")).distinct(), m, n, lo, hi)
+        return Filter("exact", some.select(x.alias("fp")).distinct(), m, n, lo, hi, half=drop)
     a, b = constants or default_hash(n, length)
-    return Filter("soda", some.select(soda_map(x, k, a, b).alias("fp")).distinct(), k, n, lo, hi, 0, a, b)
+    return Filter("soda", some.select(soda_map(x, k, a, b).alias("fp")).distinct(), k, n, lo, hi, 0, a, b, drop)
 
 
 def cdf(keys: DataFrame, length: int, eps: float, step: int = 128, blend: float = 0.0, key: str = "k") -> tuple[Filter, DataFrame]:
@@ -95,18 +108,15 @@ def cdf(keys: DataFrame, length: int, eps: float, step: int = 128, blend: float
     map rises with the key, so order is kept and no key is lost.
     """
     from voidscan.functions.sizes import ceil_log2
-    from voidscan.operators.order import ranked
-
-    n, lo, hi = bounds(keys, key)
-    r = ranked(keys.select(key).where(F.col(key).isNotNull()).distinct(), key)
-    total = r.count()
-    knots = r.where((F.col("rank") % step == 0) | (F.col("rank") == total - 1)).select(F.col(key).alias("k0"), F.col("rank").alias("r0"))
-    from pyspark.sql import Window
-
+    from voidscan.operators.order import neighbours, ranked
     from voidscan.plans.stage import staged
 
-    w = Window.orderBy("k0")  # one row for each `step` keys
-    knots = knots.select("k0", "r0", F.lead("k0").over(w).alias("k1"), F.lead("r0").over(w).alias("r1")).where("k1 is not null")
+    keys, n, lo, hi, half = halved(keys, key)
+    r = ranked(keys.distinct(), key)
+    total = r.count()
+    knots = staged(r.where((F.col("rank") % step == 0) | (F.col("rank") == total - 1)).select(F.col(key).alias("k0"), F.col("rank").alias("r0")))
+    before = neighbours(knots, "k0", "r0").where("prev is not null").select(F.col("prev").alias("k0"), F.col("k0").alias("k1"), F.col("r0").alias("r1"))
+    knots = knots.join(before, "k0")
     density = knots.agg(F.max((F.col("r1") - F.col("r0")) / (F.col("k1") - F.col("k0")))).first()[0] or 1.0
     span = max(1, (hi or 0) - (lo or 0))
     stretch = length * ((1 - blend) * density + blend * total / span) * span / max(1, total)
@@ -114,8 +124,8 @@ def cdf(keys: DataFrame, length: int, eps: float, step: int = 128, blend: float
     scale = float(mask(k)) / max(1, total - 1)
     even = lambda c: (F.col(c) - F.lit(lo or 0)) / F.lit(float(span)) * (total - 1)
     knots = staged(knots.select("k0", "k1", (((1 - blend) * F.col("r0") + blend * even("k0")) * scale).alias("y0"), (((1 - blend) * F.col("r1") + blend * even("k1")) * scale).alias("y1")))
-    mapped = cdf_map(keys.where(F.col(key).isNotNull()), knots, key, "fp", lo, hi, k)
-    return Filter("cdf", mapped.select("fp").distinct(), k, n, lo, hi), knots
+    mapped = cdf_map(keys, knots, key, "fp", lo, hi, k)
+    return Filter("cdf", mapped.select("fp").distinct(), k, n, lo, hi, half=half), knots
 
 
 def cdf_map(rows: DataFrame, knots: DataFrame, column: str, out: str, lo: int | None, hi: int | None, k: int) -> DataFrame:
@@ -129,8 +139,8 @@ def cdf_map(rows: DataFrame, knots: DataFrame, column: str, out: str, lo: int |
 
 
 def bloom_positions(v: Column, m: int, hashes: int) -> Column:
-    """Bit positions of a value."""
-    return F.array(*[F.pmod(F.xxhash64(F.lit(i), v), F.lit(m)) for i in range(hashes)])
+    """Bit positions of a value: two hashes make one of 62 bits for each probe."""
+    return F.array(*[((universal(v, 2 * i) * F.lit(2**31).cast("long") + universal(v, 2 * i + 1)) % m) for i in range(hashes)])
 
 
 def bloom(keys: DataFrame, length: int, eps: float, key: str = "k") -> tuple[DataFrame, int, int]:
@@ -141,12 +151,14 @@ def bloom(keys: DataFrame, length: int, eps: float, key: str = "k") -> tuple[Dat
     return p.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bitmap")), m, hashes
 
 
-def bloom_empty(words: DataFrame, m: int, hashes: int, queries: DataFrame, a: str = "a", b: str = "b", qid: str = "qid", most: int = 1 << 16) -> DataFrame:
-    """queries with is_empty: no point of [a, b] may be a key.  Wider intervals than `most` points count as not empty."""
-    width = F.col(b) - F.col(a)
-    some = queries.where((width >= 0) & (width < most)).select(qid, F.explode(F.sequence(a, b)).alias("v"))
-    p = some.select(qid, "v", F.explode(bloom_positions(F.col("v"), m, hashes)).alias("p")).select(
-        qid, "v", "p", F.expr("bitmap_bucket_number(p)").alias("bucket"), F.expr("bitmap_bit_position(p)").alias("at"))
+def bloom_empty(words: DataFrame, m: int, hashes: int, queries: DataFrame, a: str = "a", b: str = "b", qid: str = "qid") -> DataFrame:
+    """queries with is_empty: no point of [a, b] may be a key.  Every point is asked; wide intervals are dealt in pieces of 65,536 points first."""
+    piece = 1 << 16
+    wide = queries.where(F.col(a) <= F.col(b)).select(qid, a, b, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(b) - F.col(a)) / piece))).alias("_i"))
+    start = F.col(a) + F.col("_i") * piece
+    parts = wide.select(qid, start.alias("_s"), F.least(F.col(b), start + (piece - 1)).alias("_t"))
+    p = parts.select(qid, F.explode(F.sequence("_s", "_t")).alias("v")).select(qid, "v", F.explode(bloom_positions(F.col("v"), m, hashes)).alias("p")).select(
+        qid, "v", F.expr("bitmap_bucket_number(p)").alias("bucket"), F.expr("bitmap_bit_position(p)").alias("at"))
     at = F.col("at").cast("int")
     byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, at % 8), F.lit(0)) == 1
@@ -173,8 +185,8 @@ def answer(f: Filter, queries: DataFrame, a: str = "a", b: str = "b", qid: str =
     """queries with is_empty by a filter.  Bounds are clamped to the keys' least and greatest on both sides; a > b is empty; null gives null."""
     if not f.n:
         return queries.withColumn("is_empty", F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), True))
-    ca, cb = F.col(a), F.col(b)
-    meets = ca <= cb
+    ca, cb = F.shiftright(F.col(a).cast("long"), f.half), F.shiftright(F.col(b).cast("long"), f.half)
+    meets = F.col(a) <= F.col(b)
     if f.lo is not None:
         meets = meets & (cb >= f.lo)
         ca = F.greatest(ca, F.lit(f.lo))

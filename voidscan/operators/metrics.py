@@ -52,10 +52,14 @@ def build_study(spark, trials: int, n: int, w: int, s: int, attempts: int = 100,
 
 
 def component_sizes(parts: dict[str, DataFrame]) -> DataFrame:
-    """(name, row_count, bytes): rows of each table of a structure, and their bytes at the plain width of their columns."""
-    out = None
+    """(name, row_count, bytes): rows of each table of a structure, and the bytes of their values: the width of each number that is not null, the
+    length of each text or byte string."""
+    width, out = {"bigint": 8, "timestamp": 8, "double": 8, "int": 4, "float": 4, "date": 4, "smallint": 2, "tinyint": 1, "boolean": 1}, None
     for name, df in parts.items():
-        width = sum({"bigint": 8, "int": 4, "boolean": 1, "double": 8, "string": 20, "binary": 20}.get(t, 16) for _, t in df.dtypes)
-        r = df.agg(F.lit(name).alias("name"), F.count("*").alias("row_count"), (F.count("*") * width).alias("bytes"))
+        size = F.lit(0)
+        for c, t in df.dtypes:
+            held = F.octet_length(c) if t in ("string", "binary") else F.lit(width[t]) if t in width else F.octet_length(F.to_json(F.struct(c)))
+            size = size + F.when(F.col(c).isNotNull(), held).otherwise(0)
+        r = df.agg(F.lit(name).alias("name"), F.count("*").alias("row_count"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes"))
         out = r if out is None else out.unionByName(r)
     return out

@@ -10,24 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voidscan.plans.stage import staged
+from voidscan.functions.bits import universal
+from voidscan.plans.stage import counted, release, staged
 
 #: Rows of a slice, about.
-SLICE_ROWS = 2_000_000
+SLICE_ROWS = 1_000_000
 
 
-def slices(df: DataFrame, rows: int | None = None) -> int:
-    """Partitions for a range exchange: the session's shuffle partitions, or as many as rows ask for."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return base if rows is None else max(base, -(-rows // SLICE_ROWS))
+def slices(df: DataFrame, rows: int) -> int:
+    """Partitions for a range exchange of that many rows: one while a task holds them, then at least the session's shuffle partitions."""
+    parts = -(-rows // SLICE_ROWS)
+    return 1 if parts <= 1 else max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
 
 
 def sliced(df: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
     """df dealt by ranges of `by`, with the number of the slice as `slice`; slices are in the order of `by`.
 
-    Ranges come from a sample, so the result is a table: all that is derived from it sees the same slices.
+    The rows are written first and counted on the way, and the sample that the ranges come from doesn't compute them once more.  The
+    result is a table as well: all that is derived from it sees the same slices.
     """
-    return staged(df.repartitionByRange(parts or slices(df), *by).withColumn("slice", F.spark_partition_id()))
+    rows, n = counted(df)
+    parts = parts or slices(df, n)
+    if parts == 1:
+        return rows.withColumn("slice", F.lit(0))
+    out = staged(rows.repartitionByRange(parts, *by).withColumn("slice", F.spark_partition_id()))
+    release(rows)
+    return out
 
 
 def _carried(per_slice: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -88,7 +96,8 @@ def select_kth(keys: DataFrame, ordinals: DataFrame, ordinal: str = "i", key: st
 
 def slots(keys: DataFrame, key: str = "k") -> DataFrame:
     """(key, slot): a minimal perfect hash, each distinct key its own number of 1..n in the order of hashes."""
-    h = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", F.xxhash64(key))
+    h = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    h = h.withColumn("_h", universal(F.col(key), 0) if dict(h.dtypes)[key] == "bigint" else F.xxhash64(key))
     return ranked(h, "_h", key).select(key, (F.col("rank") + 1).alias("slot"))
 
 
@@ -165,6 +174,7 @@ def running_sum(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
 
 
 def kth_smallest(df: DataFrame, column: str, k: int):
-    """The value of rank k (0 the least) of a column, or None."""
-    r = ranked(df.select(column), column).where(F.col("rank") == k).first()
-    return None if r is None else r[column]
+    """The value of rank k (0 the least) of a column, or None.  Equal values are counted before they are put in order."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    upto = running_sum(counts, column, "_n", "_upto")
+    return upto.where(F.col("_upto") > k).agg(F.min(column)).first()[0] if k >= 0 else None

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voidscan.operators.order import kth_smallest, located, neighbours, ranked, running_sum
-from voidscan.plans.stage import importable, staged
+from voidscan.plans.stage import counted, importable, staged
 
 
 def _islands(rows: DataFrame, cut, key: str) -> DataFrame:
@@ -34,9 +34,9 @@ def gap_segments(keys: DataFrame, percentile: float = 0.95, share: float = 0.01,
     n = nb.count()
     if n < 2:
         return nb.select(F.lit(0).cast("long").alias("seg"), F.col(key).alias("min_k"), F.col(key).alias("max_k"), F.lit(1).cast("long").alias("n")).where("false")
-    gaps = nb.where("prev is not null").select((F.col(key) - F.col("prev")).alias("gap"))
-    limit = kth_smallest(gaps, "gap", min(int(percentile * (n - 1)), n - 2))
-    runs = _islands(nb, F.col("prev").isNull() | (F.col(key) - F.col("prev") > limit), key)
+    gap = F.coalesce(F.try_subtract(key, "prev"), F.lit(2**63 - 1))  # the widest gaps count as that
+    limit = kth_smallest(nb.where("prev is not null").select(gap.alias("gap")), "gap", min(int(percentile * (n - 1)), n - 2))
+    runs = _islands(nb, F.col("prev").isNull() | (gap > limit), key)
     return _numbered(runs.where(F.col("n") >= max(2, int(share * n))))
 
 
@@ -44,15 +44,19 @@ def density_segments(keys: DataFrame, eps: int, min_points: int = 10, min_size:
     """Density clusters: a key is a core if `min_points` keys, itself included, lie within eps on one side of it; cores at most eps apart
     are one cluster; keys within eps of its ends join it.  Clusters of fewer than min_size keys are left out.  A border key may belong to two."""
     distinct = staged(neighbours(keys, key).select(key, "rank"))
-    points = distinct.select(key, "rank", (F.col(key) - eps).alias("_a"), (F.col(key) + eps + 1).alias("_b"))
+    low = lambda c: F.coalesce(F.try_subtract(c, F.lit(eps)), F.lit(-(2**63)))
+    high = lambda c: F.coalesce(F.try_add(c, F.lit(eps)), F.lit(2**63 - 1))
+    points = distinct.select(key, "rank", low(F.col(key)).alias("_a"), high(F.col(key)).alias("_b"))
     left = located(points, distinct, "_a", key).select(key, "rank", "_b", F.col("below").alias("_l"))
-    both = located(left, distinct, "_b", key).select(key, "rank", "_l", F.col("below").alias("_r"))
+    both = located(left, distinct, "_b", key).select(key, "rank", "_l", F.col("upto").alias("_r"))
     cores = both.where((F.col("rank") - F.col("_l") + 1 >= min_points) | (F.col("_r") - F.col("rank") >= min_points)).select(key)
     nb = neighbours(cores, key)
-    runs = _islands(nb, F.col("prev").isNull() | (F.col(key) - F.col("prev") > eps), key).select(F.col("min_k").alias("c0"), F.col("max_k").alias("c1"), (F.col("min_k") - eps).alias("_a"), (F.col("max_k") + eps + 1).alias("_b"))
-    low = located(staged(runs), distinct, "_a", key).select("_b", F.col("below").alias("r0"), F.col("next").alias("min_k"))
-    high = located(low, distinct, "_b", key).select("min_k", F.col("last").alias("max_k"), (F.col("below") - F.col("r0")).alias("n"))
-    return _numbered(high.where(F.col("n") >= min_size))
+    gap = F.coalesce(F.try_subtract(key, "prev"), F.lit(2**63 - 1))
+    runs = _islands(nb, F.col("prev").isNull() | (gap > eps), key).select(low(F.col("min_k")).alias("_a"), high(F.col("max_k")).alias("_b"))
+    begin = located(staged(runs), distinct, "_a", key).select("_b", F.col("below").alias("r0"), F.col("next").alias("min_k"))
+    end = located(begin, distinct, "_b", key).select("min_k", F.col("upto").alias("r1"), (F.col("upto") - F.col("r0")).alias("n")).where(F.col("n") >= min_size)
+    ends = end.join(distinct.select((F.col("rank") + 1).alias("r1"), F.col(key).alias("max_k")), "r1")
+    return _numbered(ends.select("min_k", "max_k", "n"))
 
 
 def spread_segments(keys: DataFrame, k: int, key: str = "k") -> DataFrame:
@@ -90,14 +94,41 @@ def run_cost(n: float, spread: float, k: int) -> float:
     return (n * math.log2(max(1.0, universe / n)) if spread < universe else n * k) + 128
 
 
-def merged_segments(segments: DataFrame, k: int) -> DataFrame:
+def _cost_column(n, spread, k: int):
+    universe = 2.0 ** min(k, 64)
+    return F.when(spread < universe, n * F.log2(F.greatest(F.lit(1.0), universe / n))).otherwise(n * k) + 128
+
+
+def _merge_pass(runs: DataFrame, k: int) -> DataFrame:
+    """One pass over all segments: in a chain of neighbours that would merge, every second one merges with the next."""
+    r = staged(ranked(runs.select("min_k", "max_k", "n"), "min_k"))
+    after = r.select((F.col("rank") - 1).alias("rank"), F.col("min_k").alias("_a"), F.col("max_k").alias("_b"), F.col("n").alias("_n"))
+    cost = lambda n, a, b: _cost_column(n, (b - a + 1).cast("double"), k)
+    both = cost(F.col("n") + F.col("_n"), F.col("min_k"), F.col("_b"))
+    joins = F.coalesce(both < cost(F.col("n"), F.col("min_k"), F.col("max_k")) + cost(F.col("_n"), F.col("_a"), F.col("_b")), F.lit(False))
+    pairs = r.join(after, "rank", "left").withColumn("_m", joins)
+    chains = staged(running_sum(pairs.withColumn("_c", F.when(F.col("_m"), 0).otherwise(1)), "rank", "_c", "_chain"))
+    first = chains.where("_m").groupBy("_chain").agg(F.min("rank").alias("_first"))
+    takes = chains.join(first, "_chain", "left").withColumn("_t", F.col("_m") & ((F.col("rank") - F.col("_first")) % 2 == 0))
+    taken = takes.where("_t").select((F.col("rank") + 1).alias("rank"))
+    return takes.join(taken, "rank", "left_anti").select("min_k", F.when(F.col("_t"), F.col("_b")).otherwise(F.col("max_k")).alias("max_k"), (F.col("n") + F.when(F.col("_t"), F.col("_n")).otherwise(0)).alias("n"))
+
+
+def merged_segments(segments: DataFrame, k: int, most: int = 1_000_000) -> DataFrame:
     """Neighbours merged, left to right, while that costs less by the model with spread max - min + 1; repeated until nothing changes.
 
-    Each merge depends on the one before, so the segments (not their keys) are gathered in one task.
+    Up to `most` segments (not keys) are merged in one task.  More are merged by passes over all of them, with equal results: whether two
+    neighbours merge in a pass depends on those two and on their places in a chain of such neighbours.
     """
+    runs, n = counted(segments.select("min_k", "max_k", "n"))
+    while n > most:
+        before = n
+        runs, n = counted(_merge_pass(runs, k))
+        if n == before:
+            return _numbered(runs)
 
     def merge(it):
-        p = pd.concat(list(it), ignore_index=True) if it else pd.DataFrame()
+        p = pd.concat([pd.DataFrame(columns=["min_k", "max_k", "n"]), *it], ignore_index=True)
         rows = [tuple(map(int, r)) for r in p.sort_values("min_k")[["min_k", "max_k", "n"]].itertuples(index=False)]
         cost = lambda r: run_cost(r[2], r[1] - r[0] + 1, k)
         changed = True
@@ -116,17 +147,15 @@ def merged_segments(segments: DataFrame, k: int) -> DataFrame:
         yield pd.DataFrame([(s, *r) for s, r in enumerate(rows)], columns=["seg", "min_k", "max_k", "n"]).astype("int64")
 
     importable(segments.sparkSession)
-    return segments.select("seg", "min_k", "max_k", "n").coalesce(1).mapInPandas(merge, "seg long, min_k long, max_k long, n long")
+    return runs.coalesce(1).mapInPandas(merge, "seg long, min_k long, max_k long, n long")
 
 
-def optimal_segments(keys: DataFrame, k: int, key: str = "k", most: int = 20_000) -> DataFrame:
+def optimal_segments(keys: DataFrame, k: int, key: str = "k") -> DataFrame:
     """Segmentation of least total cost by dynamic programming over all pairs of keys, with spread max - min and costs rounded up.
 
-    Of equal totals a key on its own comes first, then the latest start.  Quadratic, for checks of the others: more than `most` keys raise an error.
+    Of equal totals a key on its own comes first, then the latest start.  Its time is quadratic, its memory linear, in one task: for checks of the others.
     """
     distinct = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    if distinct.count() > most:
-        raise ValueError(f"more than {most} keys: the exact segmentation is quadratic")
 
     def solve(it):
         v = np.sort(np.concatenate([p[key].to_numpy() for p in it] or [np.zeros(0, np.int64)]))

@@ -12,7 +12,8 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Folders of the tables that this process wrote and has not deleted.
@@ -40,6 +41,13 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """(staged df, its rows); they are counted while they are written."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for t in tables:
