@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from voidscan.operators import order  # noqa: E402
 
-order.SLICE_ROWS = 100  # so that small tables have several slices
+order.SLICE_ROWS = 400  # so that small tables have several slices
 
 
 @pytest.fixture(scope="session")

@@ -84,7 +84,7 @@ def soda(keys: DataFrame, k: int, length: int, key: str = "k", constants: tuple[
     n, lo, hi = bounds(keys, key)
     a, b = constants or default_hash(n, length)
     fp = keys.where(F.col(key).isNotNull()).select(soda_map(F.col(key), k, a, b).alias("fp")).distinct()
-    return Filter("soda", fp, k, n, 0, None, 0, a, b)
+    return Filter("soda", fp, k, n, None, None, 0, a, b)
 
 
 def adaptive(keys: DataFrame, k: int, length: int, key: str = "k", constants: tuple[int, int] | None = None, t: int = 0) -> Filter:
@@ -151,12 +151,11 @@ def bloom(keys: DataFrame, length: int, eps: float, key: str = "k") -> tuple[Dat
     return p.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bitmap")), m, hashes
 
 
-def bloom_empty(words: DataFrame, m: int, hashes: int, queries: DataFrame, a: str = "a", b: str = "b", qid: str = "qid") -> DataFrame:
-    """queries with is_empty: no point of [a, b] may be a key.  Every point is asked; wide intervals are dealt in pieces of 65,536 points first."""
-    piece = 1 << 16
-    wide = queries.where(F.col(a) <= F.col(b)).select(qid, a, b, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(b) - F.col(a)) / piece))).alias("_i"))
-    start = F.col(a) + F.col("_i") * piece
-    parts = wide.select(qid, start.alias("_s"), F.least(F.col(b), start + (piece - 1)).alias("_t"))
+def bloom_empty(words: DataFrame, m: int, hashes: int, queries: DataFrame, a: str = "a", b: str = "b", qid: str = "qid", most: int = 1 << 16) -> DataFrame:
+    """queries with is_empty: no point of [a, b] may be a key.  Intervals of more than `most` points count as not empty: they can't be missed, and a
+    filter of points says little about them (at its error rate one of so many points is a false one nearly always)."""
+    width = F.col(b) - F.col(a)
+    parts = queries.where((width >= 0) & (width < most)).select(qid, F.col(a).alias("_s"), F.col(b).alias("_t"))
     p = parts.select(qid, F.explode(F.sequence("_s", "_t")).alias("v")).select(qid, "v", F.explode(bloom_positions(F.col("v"), m, hashes)).alias("p")).select(
         qid, "v", F.expr("bitmap_bucket_number(p)").alias("bucket"), F.expr("bitmap_bit_position(p)").alias("at"))
     at = F.col("at").cast("int")
