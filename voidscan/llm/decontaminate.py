@@ -40,15 +40,21 @@ _SALT = 0xA5A5A5A5A5A5A5A5
 
 
 def fingerprints(words: np.ndarray) -> np.ndarray:
-    """SimHash of each row of word hashes, as two numbers of 64 bits; a word that occurs twice in the row weighs twice.  A tie gives 1."""
+    """SimHash of each row of word hashes, as two numbers of 64 bits; a word that occurs c times in the row weighs sqrt(c).  A tie gives 1."""
     out = np.zeros((len(words), 2), np.uint64)
-    step = max(1, (1 << 17) // max(1, words.shape[1]))
+    n = words.shape[1]
+    step = max(1, (1 << 16) // max(1, n))
     for lo in range(0, len(words), step):
-        part = np.ascontiguousarray(words[lo: lo + step])
+        part = np.sort(words[lo: lo + step], axis=1)
+        new = np.ones(part.shape, bool)
+        new[:, 1:] = part[:, 1:] != part[:, :-1]
+        run = np.cumsum(new.reshape(-1)) - 1
+        weight = (1 / np.sqrt(np.bincount(run)))[run].reshape(part.shape).astype(np.float32)
         for side in (0, 1):
             h = part if side == 0 else tk.mix(part ^ tk.U(_SALT))
             bits = np.unpackbits(h.view(np.uint8).reshape(*h.shape, 8), axis=2, bitorder="little").reshape(*h.shape, 64)
-            major = 2 * bits.sum(1, dtype=np.int32) >= h.shape[1]
+            held = (weight[:, None, :] @ bits.astype(np.float32))[:, 0]
+            major = 2 * held >= weight.sum(1, keepdims=True) - 1e-4
             out[lo: lo + step, side] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
