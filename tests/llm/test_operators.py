@@ -208,6 +208,17 @@ def test_fm_index_counts_like_a_scan():
     assert w.length[np.bincount(s, minlength=37).argmax()] < 6  # a frequent symbol has a short code
 
 
+def test_united_intervals_cover_the_same_words():
+    r = np.random.default_rng(1)
+    words = lambda p, a, b: {(int(x), w) for x, y, z in zip(p, a, b) for w in range(y, z)}
+    for n in [*range(12)] * 50:
+        piece, a = r.integers(0, 4, n), r.integers(0, 40, n)
+        b = a + r.integers(1, 9, n)
+        u, x, y = substring_dedup.united(piece, a, b)
+        assert words(u, x, y) == words(piece, a, b)
+        assert all(u[i] < u[i + 1] or y[i] < x[i + 1] for i in range(len(u) - 1))
+
+
 def test_matching_statistics_against_a_scan():
     from voidscan.llm.fm_index import FMIndex
 

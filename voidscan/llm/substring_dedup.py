@@ -99,6 +99,19 @@ def segment_words(it):
             })
 
 
+def united(piece: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, a, b): for each piece, the stretches that its intervals [a, b) cover together."""
+    if not len(piece):
+        return piece, a, b
+    wide = np.int64(b.max()) + 1
+    lo, hi = piece.astype(np.int64) * wide + a, piece.astype(np.int64) * wide + b
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    begins = np.concatenate([[True], lo[1:] > hi[:-1]])
+    ends = np.concatenate([begins[1:], [True]])
+    return lo[begins] // wide, lo[begins] % wide, hi[ends] % wide
+
+
 def matched(window: int):
     """For a shard: intervals (a, b) of a segment that smaller ids hold; b = -1: the window at a, of hash `anchor`, is open.
 
@@ -119,7 +132,8 @@ def matched(window: int):
         asked, later = np.concatenate([own_, others]), np.repeat([False, True], [len(own_), len(others)])
         q, a, b = index.matches(asked, np.diff(first)[asked], rank[asked] + later, window)
         p = asked[q]
-        out = [(anchor[p], seg[p], ids[p], a, b, later[q])]
+        u, start, end = united(q, a, b)  # the same words, in fewer rows
+        out = [(anchor[asked[u]], seg[asked[u]], ids[asked[u]], start, end, later[u])]
         if len(ids) and t.column("shard")[0].as_py() < 0:  # one of several shards of an anchor
             many = np.maximum(np.diff(first) - window + 1, 0)
             row = np.repeat(np.arange(len(ids)), many)
