@@ -340,6 +340,44 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty, path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_codes_plain_words_without_the_library(monkeypatch):
+    from public_tokenizers import path
+
+    tokens, asked = packing.Tokens(path("byte_bpe_50k.json")), []
+    coded = packing.Tokens.coded
+    monkeypatch.setattr(packing.Tokens, "coded", lambda self, texts: asked.extend(texts) or coded(self, texts))
+    texts = [prose(3000, 1), "it's \u4e2d, " + "x" * 40 + " y\xa0z"]
+    chunk, = textkit.chunks(pa.array(texts))
+    ids, first, _ = tokens.of(chunk)
+    # only a contraction, what isn't known and what is long
+    assert {x.decode() for x in asked} == {"'s", " \u4e2d,", " " + "x" * 40, " y\xa0z"}
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [tokens.whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_splits_and_merges_like_the_tokenizer(tmp_path):
+    import json
+
+    from public_tokenizers import path
+
+    parts = ["a", "the", "ing", "s", "'", "'s", "'ll", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\0", "1", "23", ".", "!", "$$", "\xe9", "\xdf", "\xd7", "\xf7", "\u01c0", "\u02b0",
+             "\u02c2", "\u0301", "\xa0", "\u3000", "\x85", "\u0416", "\u4e2d", "\U0001f600", "\xb2", "x" * 40, "\xe9" * 16, " " * 40]
+    r = np.random.Generator(np.random.PCG64(10))
+    texts = ["".join(r.choice(parts, r.integers(0, 40))) for _ in range(1500)]
+    texts += [f.format(chr(c)) for c in range(0x300) for f in ("ab{0}cd", "ab {0}cd", "ab{0} c", "1{0}1", "!{0}!", "'{0}'s", "\n{0}\n", " {0} ", "  {0}", "b \n{0}", "{0}{0}'s")]
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = json.load(f)
+    model["model"]["ignore_merges"] = True  # another kind of model, which the library codes alone
+    (tmp_path / "other.json").write_text(json.dumps(model))
+    for at, merged in ((path("byte_bpe_50k.json"), True), (str(tmp_path / "other.json"), False)):
+        tokens = packing.Tokens(at)
+        assert (tokens.merges is not None) == merged
+        for chunk in textkit.chunks(pa.array(texts), 20_000):
+            ids, first, _ = tokens.of(chunk)
+            for i in range(chunk.rows):
+                t = texts[chunk.lo + i]
+                assert ids[first[i]: first[i + 1]].tolist() == tokens.whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_cuts_no_sentence_that_fits():
     r = np.random.Generator(np.random.PCG64(9))
     stop = r.random(60_000) < 0.02

@@ -1,7 +1,8 @@
 """Packing: an order-preserving dynamic program chooses where the token stream is cut into sequences.
 
-Tokens come from a public tokenizer file.  A text is split at blanks between two letters or signs, where the tokenizer's own
-pre-tokenizer always starts anew, so each distinct piece is tokenized once and the ids of the rest are looked up by hash.
+Tokens come from a public tokenizer file.  A text is split wherever the classes of ASCII and of letters of two bytes show that the
+tokenizer's own pre-tokenizer starts anew, so each distinct piece is tokenized once and the ids of the rest are looked up by hash.  Of new
+pieces, short ones of such characters are merged here, many at once; the tokenizers library codes the others.
 
 The documents of a task form a stream.  Cuts may fall after a document or after a sentence; only a sentence that is longer than a whole
 sequence has places inside, every STEP tokens.  A sequence of n tokens costs its padding, a cut inside a document a penalty, and a cut
@@ -38,29 +39,162 @@ BLOCK_TOKENS = 1 << 20
 #: Distinct pieces whose ids a worker keeps.
 KEPT_PIECES = 1 << 19
 
-# Between two of these bytes a single blank surely starts a new pre-token: printable ASCII, and letters of two bytes (U+00C0..U+02FF).
-_SOLID = np.zeros(256, bool)
-_SOLID[0x21:0x7F] = True
-_LEAD = np.zeros(256, bool)
-_LEAD[0xC3:0xCC] = True
+#: Longer pieces are left to the library, whose time doesn't grow with the square of a piece.
+MERGED_BYTES = 32
+#: Pieces merged together.
+MERGED_PIECES = 1 << 15
+
+# Classes of bytes for the pre-tokenizer: unknown, letters, digits, signs, the apostrophe (it may begin a contraction), the blank, other
+# white space, and what is no white space but maybe a letter or a sign.  Known letters of two bytes are U+00C0..U+02BF but for two signs.
+_ANY, _LETTER, _DIGIT, _SIGN, _QUOTE, _BLANK, _SPACE, _SOLID = range(8)
+_CLASS = np.full(256, _ANY, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[ord("0"): ord("9") + 1] = _DIGIT
+_CLASS[ord("A"): ord("Z") + 1] = _CLASS[ord("a"): ord("z") + 1] = _CLASS[0xC3:0xCB] = _LETTER
+_CLASS[ord("'")], _CLASS[0x20], _CLASS[0x09:0x0E], _CLASS[0xCB] = _QUOTE, _BLANK, _SPACE, _SOLID
+_FULL = np.isin(np.arange(8), [_LETTER, _DIGIT, _SIGN, _QUOTE, _SOLID])
+_WHITE = np.isin(np.arange(8), [_BLANK, _SPACE])
+# Which class after which surely begins a pre-token.
+_EDGE = np.zeros((8, 8), bool)
+_EDGE[np.ix_(_FULL, _WHITE)] = _EDGE[_SPACE, _FULL] = True
+_EDGE[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = _EDGE[_DIGIT, [_LETTER, _SIGN, _QUOTE]] = _EDGE[_SIGN, [_LETTER, _DIGIT]] = _EDGE[_QUOTE, _DIGIT] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
-def pieces(chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Where pieces begin (and the end of the last), and how many stand before each row."""
+def classes(d: np.ndarray) -> np.ndarray:
+    """Class of each byte; both bytes of a character of two have the same."""
+    c = _CLASS[d]
+    two = np.flatnonzero((d >= 0xC3) & (d <= 0xCB))
+    if len(two):
+        after = np.append(d, 0)[two + 1]
+        c[two[(after & 0xC0) != 0x80]] = _ANY
+        c[two[(d[two] == 0xC3) & ((after == 0x97) | (after == 0xB7))]] = _SIGN
+        two = two[(after & 0xC0) == 0x80]
+        c[two + 1] = c[two]
+    return c
+
+
+def pieces(chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where pieces begin (and the end of the last), how many stand before each row, which are surely one pre-token, which end a sentence."""
     d = chunk.data
     n = len(d)
-    begins = np.zeros(n + 1, bool)
+    c = classes(d)
+    row = np.zeros(n + 1, bool)
+    row[chunk.starts] = True
+    row[n] = True
+    begins, wide, odd = row.copy(), row.copy(), c == _ANY
+    odd |= c == _SOLID
+    if n > 1:
+        begins[1:n] |= _EDGE.ravel()[c[:-1] * np.uint8(8) + c[1:]]
+        odd[1:] |= (c[:-1] == _QUOTE) & (c[1:] == _LETTER)
     if n > 2:
-        blank = np.flatnonzero(d[1:-1] == 0x20) + 1
-        before = _SOLID[d[blank - 1]] | ((d[blank - 1] >= 0x80) & (d[blank - 1] < 0xC0) & _LEAD[d[np.maximum(blank - 2, 0)]] & (blank >= 2))
-        after = _SOLID[d[blank + 1]] | _LEAD[d[blank + 1]]
-        begins[blank[before & after]] = True
-    begins[chunk.starts] = True
-    begins[n] = True
+        white, full = _WHITE[c], _FULL[c]
+        # the last of several white characters goes with what follows, if anything does in its row
+        last = np.flatnonzero(white[:-2] & white[1:-1] & full[2:]) + 1
+        begins[last[~row[last + 1]]] = True
+        wide[1:n - 1] |= full[:-2] & (c[1:-1] == _BLANK) & full[2:]
     at = np.flatnonzero(begins)
-    return at, np.searchsorted(at, chunk.starts)
+    plain = np.ones(len(at) - 1, bool)
+    plain[np.searchsorted(at, np.flatnonzero(odd), "right") - 1] = False
+    end = at[1:]
+    return at, np.searchsorted(at, chunk.starts), plain, wide[end] & _STOP[d[end - 1]]
+
+
+class Merges:
+    """Byte-pair encoding of many short pre-tokens at once: in each step every one of them merges its pair of least rank, the first of equals.
+
+    Pre-tokens of as many symbols are a matrix with a column for each.  A step takes one symbol off a column, and the columns that have nothing
+    to merge leave; the others join those of one symbol less.  For each pair the matrix `low` has its rank and place, so a minimum names both.
+    """
+
+    NONE, PLACES = np.int32(1 << 30), 5
+
+    def __init__(self, model: dict):
+        if model["type"] != "BPE" or any(model.get(x) for x in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError("not plain byte-pair encoding")
+        vocab = model["vocab"]
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in a byte-level vocabulary
+        other = iter(range(256, 512))
+        self.byte = np.array([vocab[chr(b) if b in shown else chr(next(other))] for b in range(256)], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs] or [0], np.int32)
+        key = self.key(np.array([vocab[a] for a, _ in pairs], np.int32), np.array([vocab[b] for _, b in pairs], np.int32))
+        if len(np.unique(key)) < len(key) or len(np.unique(self.made)) < len(self.made) or len(key) >= 1 << 24:
+            raise ValueError("pairs or what they make are not distinct")
+        bits = max(4, len(key).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        # open addressing: a taken place sends a key to the next one
+        self.keys, self.rank = np.full(1 << bits, ~np.uint64(0)), np.full(1 << bits, self.NONE)
+        left, at = np.arange(len(key)), self.place(key)
+        while len(left):
+            free = self.rank[at] == self.NONE
+            self.rank[at[free]] = left[free] << self.PLACES
+            here = free & (self.rank[at] == left << self.PLACES)
+            self.keys[at[here]] = key[left[here]]
+            left, at = left[~here], (at[~here] + 1) % len(self.keys)
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.first = self.ranks(self.byte[a], self.byte[b])
+
+    @staticmethod
+    def key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.uint64) << tk.U(32)) | b.astype(np.uint64)
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return ((key ^ (key >> tk.U(29))) * tk.U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, times 2**PLACES, or NONE."""
+        key = self.key(a, b)
+        at = self.place(key)
+        held = self.keys[at]
+        out = np.where(held == key, self.rank[at], self.NONE)
+        on = np.flatnonzero((held != key) & (held != ~tk.U(0)))
+        while len(on):
+            at[on] = (at[on] + 1) % len(self.keys)
+            held = self.keys[at[on]]
+            out[on] = np.where(held == key[on], self.rank[at[on]], self.NONE)
+            on = on[(held != key[on]) & (held != ~tk.U(0))]
+        return out
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens of 1 to MERGED_BYTES bytes of data, and how many each has."""
+        parts = [self.block(data, start[i: i + MERGED_PIECES], end[i: i + MERGED_PIECES]) for i in range(0, len(start), MERGED_PIECES)]
+        return tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in ((0, np.uint32), (1, np.int64)))
+
+    def block(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = end - start
+        order = np.argsort(n, kind="stable")
+        upto = np.searchsorted(n[order], np.arange(n.max() + 2))
+        who, ids, low = order[:0], np.zeros((n.max() + 1, 0), np.int32), np.zeros((n.max(), 0), np.int32)
+        size, done = np.zeros(len(n), np.int64), []
+        for m in range(int(n.max()), 0, -1):
+            place = np.arange(m, dtype=np.int32)[:, None]
+            own = order[upto[m]: upto[m + 1]]  # those that begin with m symbols
+            d = data[start[own] + place]
+            who, ids = np.concatenate([who, own]), np.concatenate([ids[:m], self.byte[d]], 1)
+            low = np.concatenate([low[:m - 1], self.first[d[:-1].astype(np.int32) << 8 | d[1:]] + place[:-1]], 1)
+            least = low.min(0, initial=self.NONE)
+            ready = least >= self.NONE >> 1
+            size[who[ready]] = m
+            done.append((who[ready], ids[:, ready]))
+            more = np.flatnonzero(~ready)
+            who, ids, low, least = who[more], ids[:, more], low[:, more], least[more]
+            at, column = least & ((1 << self.PLACES) - 1), np.arange(len(more))
+            made = self.made[least >> self.PLACES]
+            before = place < at
+            ids = np.where(before[:-1], ids[:-1], ids[1:])
+            low = np.where(before[:-2], low[:-1], low[1:] - 1)
+            ids[at, column] = made
+            x = np.flatnonzero(at > 0)
+            low[at[x] - 1, x] = self.ranks(ids[at[x] - 1, x], made[x]) + at[x] - 1
+            x = np.flatnonzero(at < m - 2)
+            low[at[x], x] = self.ranks(made[x], ids[at[x] + 1, x]) + at[x]
+        first = np.cumsum(size) - size
+        out = np.zeros(size.sum(), np.uint32)
+        for w, found in done:
+            out[first[w] + np.arange(len(found))[:, None]] = found
+        return out, size
 
 
 class Ids:
@@ -103,6 +237,10 @@ class Tokens:
         pre = d["pre_tokenizer"]
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or d["normalizer"] or d["model"].get("dropout"):
             raise ValueError(f"{path}: only byte-level pre-tokenizers by regular expression, without normalizer or dropout, cut texts as this module does")
+        try:
+            self.merges = Merges(d["model"])
+        except (KeyError, ValueError):  # the library codes every piece of another kind of model
+            self.merges = None
         self.known, self.fresh = _none(), _none()
 
     def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +253,7 @@ class Tokens:
 
     def of(self, chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the chunk, bounds by row, and which ids end a sentence."""
-        at, by_row = pieces(chunk)
+        at, by_row, plain, ends = pieces(chunk)
         start, end = at[:-1], at[1:]
         h = tk.Spans(tk.byte_codes(chunk.data)).hash(start, end)
         unique, index, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -125,9 +263,15 @@ class Tokens:
             if len(self.known.hashes) + len(self.fresh.hashes) + len(new) > KEPT_PIECES:
                 self.known = self.fresh = _none()
                 new = np.arange(len(unique))
-            text = chunk.data.tobytes()
-            ids, size = self.coded([text[a:b] for a, b in zip(start[index[new]].tolist(), end[index[new]].tolist())])
-            self.fresh += Ids(unique[new], size, ids)
+            a, b = start[index[new]], end[index[new]]
+            short = plain[index[new]] & (b - a <= MERGED_BYTES) & (self.merges is not None)
+            if short.any():
+                ids, size = self.merges.of(chunk.data, a[short], b[short])
+                self.fresh += Ids(unique[new[short]], size, ids)
+            if not short.all():
+                text = chunk.data.tobytes()
+                ids, size = self.coded([text[x:y] for x, y in zip(a[~short].tolist(), b[~short].tolist())])
+                self.fresh += Ids(unique[new[~short]], size, ids)
             if len(self.fresh.hashes) > max(1 << 16, len(self.known.hashes) // 3):
                 self.known, self.fresh = self.known + self.fresh, _none()
             big, small = self.known.place(unique), self.fresh.place(unique)
@@ -139,7 +283,7 @@ class Tokens:
         out_first = np.concatenate([[0], np.cumsum(count)])
         ids = held[np.repeat(first[inverse] - out_first[:-1], count) + np.arange(out_first[-1])]
         stop = np.zeros(len(ids), bool)
-        stop[out_first[1:][(end > start) & _STOP[chunk.data[np.maximum(end - 1, 0)]]] - 1] = True
+        stop[out_first[1:][ends] - 1] = True
         bounds = out_first[by_row]
         if any(x in (text := chunk.data.tobytes()) for x in self.special):
             ids, bounds, stop = self.with_special(chunk, text, ids, bounds, stop)
