@@ -176,6 +176,30 @@ def test_other_segments(spark):
         segments.uses_trunc("nothing", facts, 8, 4)
 
 
+@pytest.mark.parametrize("k, make", [
+    (5, lambda r: r.integers(0, 30_000, 3000)), (9, lambda r: np.arange(4000) * 3), (14, lambda r: np.concatenate([r.integers(0, 3000, 1500), r.integers(0, 1 << 40, 1500), (1 << 39) + r.integers(0, 1 << 15, 1500)])),
+    (62, lambda r: np.concatenate([r.integers(-(2**63), 2**63 - 1, 2000), [2**63 - 1, -(2**63)]])), (20, lambda r: r.integers(0, 1 << 19, 3000))])
+def test_spread_segments_over_many_slices(spark, k, make):
+    v = sorted({int(x) for x in make(np.random.default_rng(k))})
+    want = []
+    for x in v:
+        if want and x - want[-1][0] < 1 << k:
+            want[-1][1:] = [x, want[-1][2] + 1]
+        else:
+            want.append([x, x, 1])
+    got = segments.spread_segments(spark.createDataFrame([(x,) for x in v] + [(v[7],), (None,)], "k long"), k).orderBy("seg").collect()
+    assert [list(r) for r in got] == [[i, *w] for i, w in enumerate(want)]
+
+
+def test_spread_segments_writes_in_proportion_to_the_keys(spark, monkeypatch):
+    from voidscan.plans import stage
+
+    rows = []
+    monkeypatch.setattr(segments, "staged", lambda df: (lambda out: rows.append(out.count()) or out)(stage.staged(df)))
+    segments.spread_segments(spark.range(6000).select((F.col("id") * 7).alias("k")), 5)
+    assert sum(rows) < 6000, rows  # what is written beside the slices: rounds over all keys came to ten times the keys
+
+
 def _pairs(spark, rows):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "qid long, a long, b long")
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voidscan.operators.order import kth_smallest, located, neighbours, ranked, running_sum
+from voidscan.operators.order import kth_smallest, located, neighbours, ranked, running_sum, sliced
 from voidscan.plans.stage import counted, importable, staged
 
 
@@ -59,31 +59,87 @@ def density_segments(keys: DataFrame, eps: int, min_points: int = 10, min_size:
     return _numbered(ends.select("min_k", "max_k", "n"))
 
 
+def _leaps(v: np.ndarray, k: int) -> np.ndarray:
+    """For each of the sorted keys the place of the first one beyond key + 2**k - 1; len(v) if there is none."""
+    top = np.iinfo(np.int64).max
+    fits = v <= top - (1 << k)
+    return np.where(fits, np.searchsorted(v, np.where(fits, v, 0) + (1 << k)), len(v))
+
+
+def _ways(v: np.ndarray, k: int, before: int | None) -> pd.DataFrame:
+    """(hi, start): where greedy runs leave a slice of sorted keys.  Runs that enter it at a key up to hi, and after the hi before, have `start` as
+    the start of their last run there.  before: the greatest key of the slices before; null for the first, which is entered at its least key."""
+    leap, at = _leaps(v, k), np.arange(len(v))
+    last = np.where(leap < len(v), leap, at)
+    while not np.array_equal(beyond := last[last], last):
+        last = beyond
+    # a run that started before this slice ends at before + 2**k - 1 at the latest
+    most = 1 if before is None else len(v) if before + (1 << k) > int(v[-1]) else int(np.searchsorted(v, before + (1 << k))) + 1
+    ends = np.flatnonzero(np.append(np.diff(last[:most]) != 0, True))
+    return pd.DataFrame({"hi": v[ends], "start": v[last[ends]]})
+
+
+def _entered(s: DataFrame, k: int, key: str) -> dict[int, tuple[int | None, int | None]]:
+    """slice: (least key that may start a run in it, null if none does; start of the run that reaches into it, null for the first)."""
+    bounds = sorted(map(tuple, s.groupBy("slice").agg(F.min(key), F.max(key)).collect()))  # a row for each slice
+    first, least, _ = bounds[0]
+    if len(bounds) == 1:
+        return {first: (least, None)}
+    before = {b[0]: a[2] for a, b in zip(bounds, bounds[1:])}
+
+    def ways(which, p):
+        return _ways(np.sort(p[key].to_numpy()), k, before.get(int(which[0]))).assign(slice=int(which[0]))
+
+    places = staged(s.groupBy("slice").applyInPandas(ways, "slice int, hi long, start long"))
+    to = F.try_add("start", F.lit(1 << k))  # null beyond the greatest number
+    jump = staged(located(places.withColumn("to", to).where("to is not null"), places.select("hi"), "to", "hi").select(F.col("hi").alias("at"), "start", F.col("next").alias("to")).where("to is not null"))
+    hop, seen, held = jump.select("at", "to"), staged(places.where(F.col("slice") == first).select(F.col("hi").alias("at"))), 1
+    while True:  # a hop leaves a slice: the rounds are the logarithm of the number of slices at most
+        seen = staged(seen.unionByName(seen.join(hop, "at").select(F.col("to").alias("at"))).distinct())
+        now = seen.count()
+        if now == held:
+            break
+        held, hop = now, staged(hop.join(hop.select(F.col("at").alias("to"), F.col("to").alias("_b")), "to").select("at", F.col("_b").alias("to")))
+    into = jump.join(seen, "at").select("start", F.col("to").alias("hi")).join(places.select("slice", "hi"), "hi").select("slice", "start")
+    entry = dict(map(tuple, into.collect()))  # a row for each slice at most
+    reach = places.join(seen.withColumnRenamed("at", "hi"), "hi").agg(F.max("start")).first()[0]
+    out = {}
+    for i, *_ in reversed(bounds):
+        reach = entry.get(i, reach)
+        out[i] = (least, None) if i == first else (entry[i] + (1 << k) if i in entry else None, reach)
+    return out
+
+
 def spread_segments(keys: DataFrame, k: int, key: str = "k") -> DataFrame:
     """Greedy runs from the least key on: a new one starts at the first key beyond start + 2**k - 1.
 
-    Where each key would send its run's end is one ordered look-up; which keys are starts follows by pointer doubling, in as many rounds as
-    the logarithm of the number of runs.
+    Keys are dealt in slices.  Each slice finds where the runs that may enter it leave it; which of these ways are taken follows by pointer
+    doubling over the slices' ways, not over the keys; then each slice, told where a run enters, cuts its own.
     """
-    distinct = staged(neighbours(keys, key).select(key, "rank"))
-    n = distinct.count()
-    if not n:
-        return distinct.select(F.col("rank").alias("seg"), F.col(key).alias("min_k"), F.col(key).alias("max_k"), F.col("rank").alias("n"))
+    s = sliced(keys.select(key).where(F.col(key).isNotNull()).distinct(), key)
+    if s.isEmpty():
+        return s.select(F.col("slice").cast("long").alias("seg"), F.col(key).alias("min_k"), F.col(key).alias("max_k"), F.col("slice").cast("long").alias("n"))
     if k >= 63:
-        return distinct.agg(F.lit(0).cast("long").alias("seg"), F.min(key).alias("min_k"), F.max(key).alias("max_k"), F.count("*").alias("n"))
-    jump = staged(located(distinct.withColumn("_p", F.col(key) + (1 << k)), distinct, "_p", key).select(F.col(key).alias("at"), F.col("next").alias("to")).where("to is not null"))
-    starts = staged(distinct.where("rank = 0").select(F.col(key).alias("at")))
-    held = 1
-    while True:
-        starts = staged(starts.unionByName(starts.join(jump, "at").select(F.col("to").alias("at"))).distinct())
-        now = starts.count()
-        if now == held:
-            break
-        held = now
-        jump = staged(jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("beyond")), "to").select("at", F.col("beyond").alias("to")))
-    cut = starts.select(F.col("at").alias(key), F.lit(1).alias("_c"))
-    runs = running_sum(distinct.join(cut, key, "left").fillna(0, ["_c"]), key, "_c", "_seg")
-    return _numbered(runs.groupBy("_seg").agg(F.min(key).alias("min_k"), F.max(key).alias("max_k"), F.count("*").alias("n")))
+        return s.agg(F.lit(0).cast("long").alias("seg"), F.min(key).alias("min_k"), F.max(key).alias("max_k"), F.count("*").alias("n"))
+    importable(keys.sparkSession)
+    entered = _entered(s, k, key)
+
+    def cut(which, p):
+        v = np.sort(p[key].to_numpy())
+        (enter, reach), leap = entered[int(which[0])], _leaps(v, k).tolist()
+        i = len(v) if enter is None else int(np.searchsorted(v, enter))
+        starts = [0] if i else []  # keys of a run that started before this slice
+        while i < len(v):
+            starts.append(i)
+            i = leap[i]
+        at = np.array(starts)
+        ends, low = np.append(at[1:], len(v)), v[at]
+        if enter is None or v[0] < enter:
+            low[0] = reach
+        return pd.DataFrame({"min_k": low, "max_k": v[ends - 1], "n": ends - at})
+
+    parts = s.groupBy("slice").applyInPandas(cut, "min_k long, max_k long, n long")
+    return _numbered(parts.groupBy("min_k").agg(F.max("max_k").alias("max_k"), F.sum("n").alias("n")))
 
 
 def run_cost(n: float, spread: float, k: int) -> float:
