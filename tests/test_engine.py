@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voidscan.functions import bits, generators, sizes
 from voidscan.operators import approx, composite, exact, maps, metrics, order, segments, skipping, tries
-from voidscan.plans.stage import nested_loops
+from voidscan.plans.stage import nested_loops, physical
 from voidscan.sources import benchlogs, keyfiles
 from voidscan.streaming import sidecar
 
@@ -364,6 +364,22 @@ def test_tries_against_one_built_node_by_node(spark):
     assert depth[v[7]] == w
 
 
+def test_existing_prefix_of_every_pattern(spark):
+    w = 7
+    for v in (sorted(random.Random(6).sample(range(1 << w), 40)), [37, 38, 45], [9], [0, 127], list(range(64, 128))):
+        want = built(v, w)
+        root = min(len(e) for e, (p, _) in want.items() if p == -1)
+        asked = [(x, n) for n in range(w + 3) for x in range(1 << n)]
+        found = tries.existing_prefix(tries.nodes(spark.createDataFrame([(x,) for x in v], "k long"), w), spark.createDataFrame([*asked, asked[-1]], "p long, n int"))
+        assert "sequence(" not in physical(found)  # a row for each bit of each pattern
+        rows = found.collect()
+        assert len(rows) == len(asked) + 1
+        for r in rows:
+            text = f"{r['p']:0{r['n']}b}" if r["n"] else ""
+            met = [len(e) for e in want if len(e) < len(text) and text.startswith(e)]
+            assert r["exit_len"] == (0 if root >= len(text) else max([root, *met]) + 1), r
+
+
 def test_text_prefixes(spark):
     words = ["", "a", "ab", "abc", "b", "é", "éa", "zz"]
     k = spark.createDataFrame([(x,) for x in words + [None, "a"]], "key string")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voidscan.functions.bits import bit_length, lcp, mask, two_fattest
+from voidscan.functions.bits import bit_length, bitlen, lcp, mask, two_fattest
 from voidscan.operators.order import located, neighbours, ranked
 from voidscan.plans.stage import staged
 
@@ -74,12 +74,22 @@ def deltas(trie: DataFrame) -> DataFrame:
 
 def existing_prefix(trie: DataFrame, patterns: DataFrame, value: str = "p", n: str = "n") -> DataFrame:
     """patterns (p of n bits) with exit_len: one more than the longest extent that is a shorter prefix of the pattern (the root's counts as one);
-    0 if the pattern is no longer than the root's extent.  A pattern meets extents by equality of (length, prefix)."""
-    root = F.broadcast(trie.where("parent_depth = -1").select(F.col("len").alias("_root")))  # one row
-    heads = patterns.select(value, n, F.explode(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0)))).alias("_l")).withColumn("_h", F.call_function("shiftright", F.col(value), (F.col(n) - F.col("_l")).cast("int")))
-    met = heads.join(trie.select(F.col("len").alias("_l"), F.col("extent").alias("_h")), ["_l", "_h"]).groupBy(value, n).agg(F.max("_l").alias("_m"))
-    out = patterns.join(met.distinct(), [value, n], "left").join(root)
-    return out.withColumn("exit_len", F.when(F.col("_root") >= F.col(n), 0).otherwise(F.greatest("_root", F.coalesce("_m", F.lit(0))) + 1).cast("int")).drop("_m", "_root")
+    0 if the pattern is no longer than the root's extent.
+
+    The keys on either side of the pattern say how far the trie agrees with it.  The node that agrees so far begins at the key after the pattern
+    or ends with the one before; its parent's extent is the longest.
+    """
+    ends = F.broadcast(trie.agg(F.min(F.when(F.col("parent_depth") == -1, F.col("len"))).alias("_root"), F.max("len").alias("_w")).where("_root is not null"))  # one row
+    p = patterns.join(ends).withColumn("_n", F.least(n, "_w"))
+    p = p.withColumn("_low", F.call_function("shiftleft", F.call_function("shiftright", F.col(value), (F.col(n) - F.col("_n")).cast("int")), (F.col("_w") - F.col("_n")).cast("int")))
+    p = located(p, trie.where("is_leaf").select(F.col("extent").alias("k")), "_low", "k")
+    agrees = lambda c: F.when(F.col(c).isNull(), -1).otherwise(F.least(F.col("_w") - bitlen(F.col(c).bitwiseXOR(F.col("_low"))), F.col("_n"))).cast("int")
+    p = p.withColumns({"_a": agrees("last"), "_b": agrees("next"), "_whole": (F.col(n) > F.col("_w")) & (F.col("next") == F.col("_low"))})
+    p = p.withColumns({"_d": F.greatest("_a", "_b"), "_at": F.col("below") * 2 + (F.col("_a") > F.col("_b")).cast("int")})
+    sides = trie.select(F.explode(F.array(F.col("lo") * 2, F.col("hi") * 2 + 1)).alias("_at"), F.col("parent_depth").alias("_up"), F.col("len").alias("_len"))
+    out = p.alias("p").join(sides.alias("s"), (F.col("p._at") == F.col("s._at")) & (F.col("_up") < F.col("_d")) & (F.col("_d") <= F.col("_len")), "left")
+    longest = F.when(F.col("_whole"), F.col("_w")).otherwise(F.coalesce("_up", F.lit(0)))
+    return out.select(*[F.col(f"p.{c}") for c in patterns.columns], F.when(F.col("_root") >= F.col(n), 0).otherwise(F.greatest("_root", longest) + 1).cast("int").alias("exit_len"))
 
 
 def exit_depth(keys: DataFrame, patterns: DataFrame, w: int, value: str = "p", key: str = "k") -> DataFrame:
