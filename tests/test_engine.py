@@ -200,6 +200,23 @@ def test_spread_segments_writes_in_proportion_to_the_keys(spark, monkeypatch):
     assert sum(rows) < 6000, rows  # what is written beside the slices: rounds over all keys came to ten times the keys
 
 
+def test_keys_are_placed_among_segments(spark):
+    v = sorted({int(x) for x in np.random.default_rng(11).integers(0, 4000, 1500)})
+    segs = [(0, v[3], v[90]), (1, v[90], v[200]), (2, v[201], v[201]), (3, v[300] + 1, v[900] - 1), (4, v[880], v[-2])]  # two share a key, two overlap
+    k, s = spark.createDataFrame([(x,) for x in v] + [(v[5],), (None,)], "k long"), spark.createDataFrame(segs, "seg long, min_k long, max_k long")
+    assert sorted(map(tuple, segments.assigned(k, s).collect())) == sorted((x, i) for x in v for i, a, b in segs if a <= x <= b)
+    assert sorted(r["k"] for r in segments.leftovers(k, s).collect()) == [x for x in v if not any(a <= x <= b for _, a, b in segs)]
+    assert segments.assigned(k, s.where("false")).count() == 0 and segments.leftovers(k, s.where("false")).count() == len(v)
+
+
+def test_segments_look_up_their_ends_not_every_key(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(segments, "located", lambda points, *a: asked.append(points.count()) or order.located(points, *a))
+    k = spark.range(1500).select((F.col("id") * 3 + F.floor(F.col("id") / 300) * 10_000).alias("k"))
+    c = composite.hybrid_scan(k, 40, k=20, policy="trunc", min_points=4, min_size=16, radius=100)
+    assert composite.stats(c).first()["clusters"] == 5 and sum(asked) <= 10, asked
+
+
 def _pairs(spark, rows):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "qid long, a long, b long")
 

@@ -53,10 +53,11 @@ def build(keys: DataFrame, segments: DataFrame, k: int, length: int, policy: str
     k = min(k, 62)
     segs = staged(segments.withColumn("m", bitlen(F.col("max_k") - F.col("min_k"))))
     a, b = approx.default_hash(n, length)
-    inside = sg.assigned(some, segs).join(segs, "seg")
+    at = staged(sg.placed(some, segs))
+    inside = sg._inside(at, "k").join(segs, "seg")
     x = F.col("k") - F.col("min_k")
     fp = staged(inside.select("seg", F.when(F.col("m") <= k, x).otherwise(approx.soda_map(x, k, a, b)).alias("fp")).distinct())
-    rest = staged(sg.leftovers(some, segs))
+    rest = at.where("s0 >= s1").select("k")
     n_rest = rest.count()
     f = None
     if n_rest:

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voidscan.operators.order import kth_smallest, located, neighbours, ranked, running_sum, sliced
@@ -46,15 +46,17 @@ def density_segments(keys: DataFrame, eps: int, min_points: int = 10, min_size:
     distinct = staged(neighbours(keys, key).select(key, "rank"))
     low = lambda c: F.coalesce(F.try_subtract(c, F.lit(eps)), F.lit(-(2**63)))
     high = lambda c: F.coalesce(F.try_add(c, F.lit(eps)), F.lit(2**63 - 1))
-    points = distinct.select(key, "rank", low(F.col(key)).alias("_a"), high(F.col(key)).alias("_b"))
-    left = located(points, distinct, "_a", key).select(key, "rank", "_b", F.col("below").alias("_l"))
-    both = located(left, distinct, "_b", key).select(key, "rank", "_l", F.col("upto").alias("_r"))
-    cores = both.where((F.col("rank") - F.col("_l") + 1 >= min_points) | (F.col("_r") - F.col("rank") >= min_points)).select(key)
+    # of two keys min_points - 1 ranks apart both are cores if they lie within eps, and no key is a core otherwise
+    far = distinct.select((F.col("rank") - (max(min_points, 1) - 1)).alias("rank"), F.col(key).alias("_far"))
+    close = distinct.join(far, "rank").where(F.coalesce(F.try_subtract("_far", key), F.lit(2**63 - 1)) <= eps)
+    cores = close.select(F.explode(F.array(key, "_far")).alias(key))
     nb = neighbours(cores, key)
     gap = F.coalesce(F.try_subtract(key, "prev"), F.lit(2**63 - 1))
     runs = _islands(nb, F.col("prev").isNull() | (gap > eps), key).select(low(F.col("min_k")).alias("_a"), high(F.col("max_k")).alias("_b"))
-    begin = located(staged(runs), distinct, "_a", key).select("_b", F.col("below").alias("r0"), F.col("next").alias("min_k"))
-    end = located(begin, distinct, "_b", key).select("min_k", F.col("upto").alias("r1"), (F.col("upto") - F.col("r0")).alias("n")).where(F.col("n") >= min_size)
+    runs = staged(runs)
+    at = staged(located(runs.select(F.explode(F.array("_a", "_b")).alias("v")).distinct(), distinct, "v", key))
+    begin = runs.join(at.select(F.col("v").alias("_a"), F.col("below").alias("r0"), F.col("next").alias("min_k")), "_a")
+    end = begin.join(at.select(F.col("v").alias("_b"), F.col("upto").alias("r1")), "_b").select("min_k", "r1", (F.col("r1") - F.col("r0")).alias("n")).where(F.col("n") >= min_size)
     ends = end.join(distinct.select((F.col("rank") + 1).alias("r1"), F.col(key).alias("max_k")), "r1")
     return _numbered(ends.select("min_k", "max_k", "n"))
 
@@ -240,18 +242,36 @@ def optimal_segments(keys: DataFrame, k: int, key: str = "k") -> DataFrame:
     return distinct.coalesce(1).mapInPandas(solve, "seg long, min_k long, max_k long, n long")
 
 
+def placed(keys: DataFrame, segments: DataFrame, key: str = "k") -> DataFrame:
+    """Distinct keys with s0, the segments that end before it, and s1, those that begin up to it: it lies in those from s0 to s1 - 1.
+
+    Segments are in order at both ends.  Keys and ends are dealt by value together, once for both numbers.
+    """
+    ends = segments.select(F.inline(F.array(F.struct(F.col("min_k").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("c")), F.struct(F.col("max_k").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("c")))))
+    asked = keys.select(F.col(key).alias("v")).where("v is not null").distinct().select("v", F.lit(0).alias("o"), F.lit(0).alias("c"))
+    s = sliced(asked.unionByName(ends), "v")
+    by = Window.partitionBy("slice").orderBy("v")
+    upto = F.sum("o").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # a segment that ends at the key holds it: of the ends up to the key those at the key don't count
+    ended = F.sum("c").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("c").over(Window.partitionBy("slice", "v"))
+    local = s.select("slice", "v", "o", "c", upto.alias("_u"), ended.alias("_e"))
+    w = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = s.groupBy("slice").agg(F.sum("o").alias("o"), F.sum("c").alias("c")).select("slice", F.coalesce(F.sum("o").over(w), F.lit(0)).alias("o0"), F.coalesce(F.sum("c").over(w), F.lit(0)).alias("c0"))
+    return local.where("o = 0 and c = 0").join(F.broadcast(before), "slice").select(F.col("v").alias(key), (F.col("_e") + F.col("c0")).alias("s0"), (F.col("_u") + F.col("o0")).alias("s1"))
+
+
 def leftovers(keys: DataFrame, segments: DataFrame, key: str = "k") -> DataFrame:
     """Keys in no segment."""
-    found = located(keys.select(key).distinct(), segments.select(F.col("max_k").alias("m")), key, "m").select(key, F.col("next").alias("max_k"))
-    # of segments that end at or after the key the first one decides: segments are in order at both ends
-    return found.join(segments.select("max_k", "min_k"), "max_k", "left").where(F.col("min_k").isNull() | (F.col("min_k") > F.col(key))).select(key)
+    return placed(keys, segments, key).where("s0 >= s1").select(key)
+
+
+def _inside(at: DataFrame, key: str) -> DataFrame:
+    return at.where("s0 < s1").select(key, F.explode(F.sequence("s0", F.col("s1") - 1)).alias("seg"))
 
 
 def assigned(keys: DataFrame, segments: DataFrame, key: str = "k") -> DataFrame:
     """(key, seg): keys with each segment they lie in; a border key of two segments comes twice."""
-    low = located(keys.select(key).distinct(), segments.select(F.col("max_k").alias("m")), key, "m").select(key, F.col("below").alias("s0"))
-    high = located(low, segments.select(F.col("min_k").alias("m")), key, "m").select(key, "s0", F.col("upto").alias("s1"))
-    return high.where("s0 < s1").select(key, F.explode(F.sequence("s0", F.col("s1") - 1)).alias("seg"))
+    return _inside(placed(keys, segments, key), key)
 
 
 # ---- which filter the keys outside all segments get
@@ -289,4 +309,4 @@ def uses_trunc(policy: str, facts: dict, k: int, length: int, eps: float = 0.01)
     return (spread >> k) < length
 
 
-__all__ = ["assigned", "density_segments", "gap_facts", "gap_segments", "leftovers", "merged_segments", "optimal_segments", "run_cost", "spread_segments", "uses_trunc"]
+__all__ = ["assigned", "density_segments", "gap_facts", "gap_segments", "leftovers", "merged_segments", "optimal_segments", "placed", "run_cost", "spread_segments", "uses_trunc"]
